@@ -32,14 +32,12 @@ NUMBER_TYPES = ["INTEGER", "BIGINT", "SMALLINT", "NUMERIC", "REAL", "DOUBLE", "F
 DATE_TYPES = ["DATE", "TIMESTAMP", "DATETIME", "TIME"]
 INTEGER_TYPES = ["INTEGER", "BIGINT", "SMALLINT"]
 
-# Date layouts, tried in this order.
-DATE_LAYOUTS = [
-    (r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"),
-    (r"^\d{2}/\d{2}/\d{4}$", "dd/MM/yyyy"),
-    (r"^\d{2}-\d{2}-\d{4}$", "dd-MM-yyyy"),
-    (r"^\d{8}$", "yyyyMMdd"),
-    (r"^\d{8}$", "ddMMyyyy"),
-]
+# Date layouts.  Separated days and year-first digits are put in
+# ISO order first; eight digits that are no such date are then read day-first.
+DAY_FIRST = r"^(\d{2})([/-])(\d{2})\2(\d{4})$"
+YEAR_DIGITS = r"^(\d{4})(\d{2})(\d{2})$"
+DAY_DIGITS = r"^(\d{2})(\d{2})(\d{4})$"
+ISO_DAY = r"^((?!00)\d{4}-\d{2}-\d{2})$"
 
 
 def normalize_type(t: Column) -> Column:
@@ -85,36 +83,34 @@ def conversion_kind(source: str | None, target: str | None) -> str:
 def text_to_date(c: Column) -> Column:
     """Dirty text to a date.
 
-    The layouts are checked in order and must be real calendar dates from year
-    100 on; eight digits are read year-first, then day-first.  ISO date-times
-    are accepted last.  Anything else is NULL.
+    ``YYYY-MM-DD``, ``DD/MM/YYYY``, ``DD-MM-YYYY``, ``YYYYMMDD`` and ``DDMMYYYY``
+    are tried in this order and must be real calendar dates from year 100 on.
+    ISO date-times are accepted last.  Anything else is NULL.
     """
     t = strip_space(c)
-    tries = []
-    for shape, layout in DATE_LAYOUTS:
-        day = F.when(t.rlike(shape), F.try_to_date(t, layout))
-        tries.append(F.when(F.year(day) >= 100, day))
-    return F.coalesce(*tries, parse_iso(t).cast("date"))
+
+    def day(iso: Column) -> Column:
+        return F.regexp_extract(iso, ISO_DAY, 1).try_cast("date")
+
+    ordered = F.regexp_replace(F.regexp_replace(t, DAY_FIRST, "$4-$3-$1"), YEAR_DIGITS, "$1-$2-$3")
+    return F.coalesce(day(ordered), day(F.regexp_replace(t, DAY_DIGITS, "$3-$2-$1")), parse_iso(c).cast("date"))
 
 
 def text_to_timestamp(c: Column) -> Column:
     """Like ``text_to_date`` but keeps the time of day an ISO date-time carries."""
-    t = strip_space(c)
-    return F.when(F.length(t) <= 10, text_to_date(t).cast("timestamp_ntz")).otherwise(parse_iso(t))
+    return F.coalesce(parse_iso(c), text_to_date(c).cast("timestamp_ntz"))
 
 
 def clean_number_text(c: Column) -> Column:
     """Drop white space and thousands commas; a lone comma becomes the point."""
-    t = F.regexp_replace(drop_space(c), r",(?=\d{3})", "")
-    return F.when(t.contains(",") & ~t.contains("."), F.regexp_replace(t, r"^([^,]*),", "$1.")).otherwise(t)
+    bare = F.regexp_replace(drop_space(c), r",(?=\d{3})", "")
+    return F.regexp_replace(bare, r"^([^,.]*),([^,.]*)$", "$1.$2")
 
 
 def text_to_number(c: Column) -> Column:
     """Dirty text to a double; empty text and junk are NULL, blank text is 0."""
-    t = clean_number_text(c)
-    return F.when(c == "", F.lit(None).cast("double")).when(t == "", F.lit(0.0)).when(
-        t.rlike(NUMBER_SHAPE), t.try_cast("double")
-    )
+    number = F.regexp_extract(clean_number_text(c), NUMBER_SHAPE, 1).try_cast("double")
+    return F.when((c != "") & (strip_space(c) == ""), F.lit(0.0)).otherwise(number)
 
 
 def text_to_integer(c: Column) -> Column:
@@ -160,23 +156,18 @@ def typed_value(c: Column, dtype: T.DataType, source: str, target: str) -> tuple
     return value_text(c, dtype), T.StringType()
 
 
-def convert(c: Column, dtype: T.DataType, source: str, target: str) -> Column:
-    """Convert one column and say how each value fared."""
-    kind = conversion_kind(source, target)
-    value, kind_type = typed_value(c, dtype, source, target)
-    original = value_text(c, dtype)
-    failed = c.isNotNull() & value.isNull()
+def _verdict(value: Column, value_type: T.DataType, original: Column, kind: str) -> Column:
+    """``struct(value, success, conversion_type, error)`` of a parsed value."""
     what = {"TEXT_TO_DATE": "date", "TEXT_TO_NUMBER": "number", "NUMBER_TO_NUMBER": "number"}.get(kind)
-    if what is None:
-        error = F.lit(None).cast("string")
-        success = F.lit(True)
-    else:
+    shown = F.date_format(value, "yyyy-MM-dd") if isinstance(value_type, T.DateType) else value_text(value, value_type)
+    error = F.lit(None).cast("string")
+    success = F.lit(True)
+    if what:
+        success = original.isNull() | value.isNotNull()
         message = F.when(original == "", F.lit(f"empty text is not a {what}")).otherwise(
             F.concat(F.lit("cannot convert '"), original, F.lit(f"' to a {what}"))
         )
-        error = F.when(failed, message)
-        success = ~failed
-    shown = F.date_format(value, "yyyy-MM-dd") if isinstance(kind_type, T.DateType) else value_text(value, kind_type)
+        error = F.when(~success, message)
     return F.struct(
         F.coalesce(shown, original).alias("value"),
         success.alias("success"),
@@ -185,6 +176,12 @@ def convert(c: Column, dtype: T.DataType, source: str, target: str) -> Column:
     )
 
 
+def convert(c: Column, dtype: T.DataType, source: str, target: str) -> Column:
+    """Convert one column and say how each value fared."""
+    value, value_type = typed_value(c, dtype, source, target)
+    return _verdict(value, value_type, value_text(c, dtype), conversion_kind(source, target))
+
+
 @dataclass(frozen=True)
 class Conversion:
     """One column to convert: where it comes from, where it goes, and the types."""
@@ -202,18 +199,36 @@ def _source_column(df: DataFrame, name: str) -> tuple[Column, T.DataType]:
     return F.lit(None).cast("string"), T.StringType()
 
 
+def _parsed(df: DataFrame, conversions: Iterable[Conversion]) -> tuple[DataFrame, list]:
+    """Parse every converted column once, ahead of whatever looks at the result.
+
+    Returns the wider table and ``(conversion, value, type, original text)``.
+    """
+    values, parts = {}, []
+    for i, cv in enumerate(conversions):
+        c, dtype = _source_column(df, cv.source)
+        if not cv.convert:
+            parts.append((cv, c, dtype, value_text(c, dtype)))
+            continue
+        value, value_type = typed_value(c, dtype, cv.source_type, cv.target_type)
+        values[f"__v{i}"] = value
+        parts.append((cv, F.col(f"__v{i}"), value_type, value_text(c, dtype)))
+    return df.withColumns(values) if values else df, parts
+
+
 def convert_table(df: DataFrame, conversions: Iterable[Conversion]) -> DataFrame:
     """Convert the listed columns and drop all others.
 
     Failed values keep their original text, so converted columns are text; use
     ``typed_table`` where failures should be NULL in typed columns.
     """
-    out = []
-    for cv in conversions:
-        c, dtype = _source_column(df, cv.source)
-        value = convert(c, dtype, cv.source_type, cv.target_type)["value"] if cv.convert else c
-        out.append(value.alias(cv.target))
-    return df.select(out)
+    wide, parts = _parsed(df, conversions)
+    return wide.select(
+        [
+            (_verdict(v, t, original, conversion_kind(cv.source_type, cv.target_type))["value"] if cv.convert else v).alias(cv.target)
+            for cv, v, t, original in parts
+        ]
+    )
 
 
 def typed_table(df: DataFrame, conversions: Iterable[Conversion], keep: Iterable[str] = ()) -> DataFrame:
@@ -231,38 +246,32 @@ def conversion_report(df: DataFrame, conversions: Iterable[Conversion], key: str
 
     All columns are checked in one pass over the table.
     """
+    wide, parts = _parsed(df, [cv for cv in conversions if cv.convert])
     checks = []
-    for cv in conversions:
-        if not cv.convert:
-            continue
-        c, dtype = _source_column(df, cv.source)
-        verdict = convert(c, dtype, cv.source_type, cv.target_type)
-        checks.append(
-            F.struct(
-                F.lit(cv.source).alias("source_column"),
-                F.lit(cv.target).alias("target_column"),
-                F.lit(cv.source_type).alias("source_type"),
-                F.lit(cv.target_type).alias("target_type"),
-                value_text(c, dtype).alias("original_value"),
-                verdict["success"].alias("success"),
-                verdict["conversion_type"].alias("conversion_type"),
-                verdict["error"].alias("error"),
-            )
+    for cv, value, value_type, original in parts:
+        verdict = _verdict(value, value_type, original, conversion_kind(cv.source_type, cv.target_type))
+        failed = F.struct(
+            F.lit(cv.source).alias("source_column"),
+            F.lit(cv.target).alias("target_column"),
+            F.lit(cv.source_type).alias("source_type"),
+            F.lit(cv.target_type).alias("target_type"),
+            original.alias("original_value"),
+            F.lit(conversion_kind(cv.source_type, cv.target_type)).alias("conversion_type"),
+            verdict["error"].alias("error"),
         )
-    problems = F.filter(F.array(*checks), lambda r: ~r["success"])
-    return df.select(F.col(key), F.inline(problems)).drop("success")
+        checks.append(F.when(verdict["error"].isNotNull(), failed))
+    return wide.select(F.col(key), F.inline(F.array_compact(F.array(*checks))))
 
 
 def conversion_summary(df: DataFrame, conversions: Iterable[Conversion]) -> DataFrame:
     """Values checked and failed per column pair and conversion, in one pass."""
-    marks = []
-    for cv in conversions:
-        c, dtype = _source_column(df, cv.source)
-        verdict = convert(c, dtype, cv.source_type, cv.target_type)
-        marks.append((cv, verdict))
-    totals = df.agg(
+    wide, parts = _parsed(df, [cv for cv in conversions if cv.convert])
+    totals = wide.agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.count_if(~v["success"]).alias(f"f{i}") for i, (_, v) in enumerate(marks)],
+        *[
+            F.count_if(~_verdict(v, t, original, conversion_kind(cv.source_type, cv.target_type))["success"]).alias(f"f{i}")
+            for i, (cv, v, t, original) in enumerate(parts)
+        ],
     )
     rows = F.array(
         *[
@@ -274,7 +283,7 @@ def conversion_summary(df: DataFrame, conversions: Iterable[Conversion]) -> Data
                 F.col("n").alias("checked"),
                 F.col(f"f{i}").alias("failed"),
             )
-            for i, (cv, _) in enumerate(marks)
+            for i, (cv, *_) in enumerate(parts)
         ]
     )
     return totals.select(F.inline(rows))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableferry.functions.text import strip_space
@@ -41,9 +41,8 @@ def plain_name(c: Column) -> Column:
     return strip_space(F.lower(c))
 
 
-def string_similarity(a: Column, b: Column) -> Column:
-    """1 for equal names, 0.8 when one contains the other, else by edit distance."""
-    x, y = plain_name(a), plain_name(b)
+def plain_similarity(x: Column, y: Column) -> Column:
+    """Similarity of two names already in plain form."""
     longest = F.greatest(F.char_length(x), F.char_length(y))
     return (
         F.when(x == y, 1.0)
@@ -53,6 +52,17 @@ def string_similarity(a: Column, b: Column) -> Column:
     )
 
 
+def string_similarity(a: Column, b: Column) -> Column:
+    """1 for equal names, 0.8 when one contains the other, else by edit distance."""
+    return plain_similarity(plain_name(a), plain_name(b))
+
+
+def with_similarity(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """Add the similarity of two columns; each name is put in plain form once."""
+    plain = df.withColumns({"__x": plain_name(F.col(a)), "__y": plain_name(F.col(b))})
+    return plain.withColumn(out, plain_similarity(F.col("__x"), F.col("__y"))).drop("__x", "__y")
+
+
 def type_group(c: Column) -> Column:
     groups = F.create_map(*[F.lit(v) for v in chain.from_iterable(GROUP_OF.items())])
     return F.try_element_at(groups, F.upper(c))

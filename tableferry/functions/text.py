@@ -17,10 +17,11 @@ SPACE = (
 )
 
 # The shapes of a plain number and of the dates that parse freely.
-NUMBER_SHAPE = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+NUMBER_SHAPE = r"^([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)$"
 NUMBER_PREFIX = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
 INTEGER_PREFIX = r"^\s*([+-]?\d+)"
-ISO_DATE_TIME = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:?\d{2})?)?$"
+ISO_DATE_TIME = r"^(\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?)?)(?:(?<=:\d\d|\.\d{1,9})(?:Z|[+-]\d{2}:?\d{2}))?$"
+ISO_OFFSET = r":\d{2}(?:\.\d+)?([+-]\d{2}:?\d{2})$"
 
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 FRACTIONAL = (T.FloatType, T.DoubleType)
@@ -53,7 +54,7 @@ def round_half_up(c: Column) -> Column:
 def number_from_text(c: Column) -> Column:
     """The number a piece of text spells, NULL when it spells none; blank is 0."""
     t = strip_space(c)
-    return F.when(t == "", F.lit(0.0)).when(t.rlike(NUMBER_SHAPE), t.try_cast("double"))
+    return F.when(t == "", F.lit(0.0)).otherwise(F.regexp_extract(t, NUMBER_SHAPE, 1).try_cast("double"))
 
 
 def leading_integer(c: Column) -> Column:
@@ -102,16 +103,10 @@ def value_text(c: Column, dtype: T.DataType) -> Column:
 def parse_iso(c: Column) -> Column:
     """ISO date or date-time text to a zone-free UTC timestamp, NULL otherwise."""
     t = strip_space(c)
-    zone = F.regexp_extract(t, r":\d{2}(?:\.\d+)?([+-]\d{2}:?\d{2})$", 1)
-    local = F.regexp_replace(t, r"(?<=:\d{2}(?:\.\d{1,9})?)(Z|[+-]\d{2}:?\d{2})$", "").try_cast("timestamp_ntz")
-    sign = F.when(zone.startswith("-"), -1).otherwise(1)
-    minutes = sign * (
-        F.substring(zone, 2, 2).try_cast("int") * 60 + F.right(zone, F.lit(2)).try_cast("int")
-    )
-    shifted = F.when(zone == "", local).otherwise(
-        local - F.make_dt_interval(mins=minutes)
-    )
-    return F.when(t.rlike(ISO_DATE_TIME), shifted)
+    local = F.regexp_extract(t, ISO_DATE_TIME, 1).try_cast("timestamp_ntz")
+    offset = F.replace(F.regexp_extract(t, ISO_OFFSET, 1), F.lit(":"), F.lit("")).try_cast("int")
+    minutes = F.coalesce(offset - F.lit(40) * F.floor(F.abs(offset) / 100) * F.signum(offset), F.lit(0))
+    return local - F.make_dt_interval(mins=minutes.cast("int"))
 
 
 def truthy(c: Column, dtype: T.DataType) -> Column:

@@ -27,8 +27,8 @@ from tableferry.functions.similarity import (
     compatibility_score,
     plain_name,
     similarity_reason,
-    string_similarity,
     type_similarity,
+    with_similarity,
 )
 
 CELL_NAMES = 4096
@@ -175,7 +175,7 @@ def column_match(src: DataFrame, tgt: DataFrame) -> DataFrame:
         "source_column",
         F.col("tgt_table").alias("target_table"),
         F.col("tgt_column").alias("target_column"),
-        F.round("score", 4).alias("score"),
+        "score",
     )
 
 
@@ -183,11 +183,15 @@ def _table_scores(src: DataFrame, best: DataFrame, tgt: DataFrame) -> DataFrame:
     per_column = src.select(
         F.col("table_name").alias("source_table"), plain_name(F.col("column_name")).alias("name"), F.upper("type").alias("type")
     ).join(best, ["name", "type"])
-    structure = per_column.groupBy("source_table", F.col("tgt_table").alias("target_table")).agg(F.avg("score").alias("structure"))
+    structure = per_column.groupBy("source_table", F.col("tgt_table").alias("target_table")).agg(
+        (F.sum(F.col("score").cast("decimal(10,6)")).cast("double") / F.count(F.lit(1))).alias("structure")
+    )
     n_src = src.groupBy(F.col("table_name").alias("source_table")).agg(F.count(F.lit(1)).alias("n_src"))
     n_tgt = tgt.groupBy(F.col("table_name").alias("target_table")).agg(F.count(F.lit(1)).alias("n_tgt"))
-    scored = structure.join(n_src, "source_table").join(n_tgt, "target_table")
-    name_score = string_similarity(F.col("source_table"), F.col("target_table"))
+    scored = with_similarity(
+        structure.join(n_src, "source_table").join(n_tgt, "target_table"), "source_table", "target_table", "name_score"
+    )
+    name_score = F.col("name_score")
     ratio = F.coalesce(F.try_divide(F.least("n_src", "n_tgt"), F.greatest("n_src", "n_tgt")), F.lit(0.0))
     total = name_score * TABLE_NAME_WEIGHT + ratio * COUNT_WEIGHT + F.col("structure") * STRUCTURE_WEIGHT
     return scored.select(

@@ -28,8 +28,8 @@ def string_similarity(spark, d):
     other = F.expr(
         """CASE p_size % 4 WHEN 0 THEN upper(p_name) WHEN 1 THEN concat(' ', split_part(p_name, ' ', 1), ' ') WHEN 2 THEN '' ELSE concat(p_brand, p_type) END"""
     )
-    score = F.round(sim.string_similarity(F.col("p_name"), other), 6)
-    return legacy.table(spark, d, "part").select("p_partkey", score.alias("score"))
+    pairs = legacy.table(spark, d, "part").select("p_partkey", "p_name", other.alias("other"))
+    return sim.with_similarity(pairs, "p_name", "other", "score").select("p_partkey", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -86,7 +86,7 @@ sc AS MATERIALIZED (SELECT s.table_name AS st, s.column_name AS sc, t.table_name
 FROM catalog_src s JOIN np ON np.a = s.column_name JOIN catalog_tgt t ON t.column_name = np.b JOIN tp ON tp.a = s.type AND tp.b = t.type)"""
 
 _TABLES = f""", best AS (SELECT st, sc, tt, max(score) AS m FROM sc GROUP BY 1, 2, 3),
-structure AS (SELECT st, tt, avg(m) AS structure FROM best GROUP BY 1, 2),
+structure AS (SELECT st, tt, CAST(sum(CAST(m AS DECIMAL(10,6))) AS DOUBLE) / count(*) AS structure FROM best GROUP BY 1, 2),
 cs AS (SELECT table_name AS st, count(*) AS n FROM catalog_src GROUP BY 1), ct AS (SELECT table_name AS tt, count(*) AS m FROM catalog_tgt GROUP BY 1),
 tm AS (SELECT st, tt, CAST({q.name_score('st', 'tt')} AS DOUBLE) AS ns, CAST(least(n, m) AS DOUBLE) / greatest(n, m) AS ratio, structure
        FROM structure JOIN cs USING (st) JOIN ct USING (tt)),
@@ -97,7 +97,7 @@ scored AS (SELECT st AS source_table, tt AS target_table, round(ns, 6) AS name_s
 @query(
     CATALOGS[:-1]
     + _PAIRS
-    + """SELECT st AS source_table, sc AS source_column, tt AS target_table, tc AS target_column, round(score, 4) AS score FROM (
+    + """SELECT st AS source_table, sc AS source_column, tt AS target_table, tc AS target_column, score FROM (
          SELECT *, row_number() OVER (PARTITION BY st, sc ORDER BY score DESC, tt, ordinal) AS rn FROM sc WHERE score > 0.5) WHERE rn = 1"""
 )
 def column_match(spark, d):

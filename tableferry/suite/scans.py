@@ -282,11 +282,11 @@ ORDER_RULES = [
     Rule("total_txt", "pattern", pattern=r"^[\s0-9.,-]*$", message="total is not numeric"),
     Rule("note", "length", max=5, message="note is too long"),
 ]
-_BROKEN = """list_aggregate(list_filter([
+_BROKEN = """concat_ws('; ',
     CASE WHEN NOT regexp_matches(order_date_txt, '\\d') THEN 'order_date_txt: no digits in the date' END,
     CASE WHEN total_txt = '' THEN 'total_txt: total is missing' END,
     CASE WHEN NOT regexp_full_match(total_txt, '[\\s0-9.,-]*') THEN 'total_txt: total is not numeric' END,
-    CASE WHEN length(note) > 5 THEN 'note: note is too long' END], x -> x IS NOT NULL), 'string_agg', '; ')"""
+    CASE WHEN length(note) > 5 THEN 'note: note is too long' END)"""
 
 
 @query(q.with_(q.LEGACY_ORDERS) + f"SELECT * FROM legacy_orders WHERE coalesce({_BROKEN}, '') = ''")

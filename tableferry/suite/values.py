@@ -65,7 +65,7 @@ def transform_chain(spark, d):
 
 
 @query(
-    """SELECT o_orderkey, CAST(list_sum(list_transform(string_split(CAST(o_custkey AS VARCHAR), ''), x -> CAST(x AS INTEGER))) % 10 AS BIGINT) AS check_digit,
+    """SELECT o_orderkey, CAST(list_sum(CAST(string_split(CAST(o_custkey AS VARCHAR), '') AS INTEGER[])) % 10 AS BIGINT) AS check_digit,
        concat(o_orderstatus, '!') AS o_orderstatus FROM orders"""
 )
 def udf_custom(spark, d):
