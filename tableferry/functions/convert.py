@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tableferry.functions.text import (
-    NUMBER_SHAPE,
     drop_space,
     is_text,
     number_from_text,
     parse_iso,
+    plain_number,
+    present,
     round_half_up,
     strip_space,
     value_text,
@@ -80,6 +81,16 @@ def conversion_kind(source: str | None, target: str | None) -> str:
     return f"{pair[0]}_TO_{pair[1]}" if pair in known else "CUSTOM_CONVERSION"
 
 
+def _calendar_day(c: Column) -> Column:
+    t = strip_space(c)
+
+    def day(iso: Column) -> Column:
+        return F.regexp_extract(iso, ISO_DAY, 1).try_cast("date")
+
+    ordered = F.regexp_replace(F.regexp_replace(t, DAY_FIRST, "$4-$3-$1"), YEAR_DIGITS, "$1-$2-$3")
+    return F.coalesce(day(ordered), day(F.regexp_replace(t, DAY_DIGITS, "$3-$2-$1")))
+
+
 def text_to_date(c: Column) -> Column:
     """Dirty text to a date.
 
@@ -87,18 +98,12 @@ def text_to_date(c: Column) -> Column:
     are tried in this order and must be real calendar dates from year 100 on.
     ISO date-times are accepted last.  Anything else is NULL.
     """
-    t = strip_space(c)
-
-    def day(iso: Column) -> Column:
-        return F.regexp_extract(iso, ISO_DAY, 1).try_cast("date")
-
-    ordered = F.regexp_replace(F.regexp_replace(t, DAY_FIRST, "$4-$3-$1"), YEAR_DIGITS, "$1-$2-$3")
-    return F.coalesce(day(ordered), day(F.regexp_replace(t, DAY_DIGITS, "$3-$2-$1")), parse_iso(c).cast("date"))
+    return F.coalesce(_calendar_day(c), parse_iso(c).cast("date"))
 
 
 def text_to_timestamp(c: Column) -> Column:
     """Like ``text_to_date`` but keeps the time of day an ISO date-time carries."""
-    return F.coalesce(parse_iso(c), text_to_date(c).cast("timestamp_ntz"))
+    return F.coalesce(_calendar_day(c).cast("timestamp_ntz"), parse_iso(c))
 
 
 def clean_number_text(c: Column) -> Column:
@@ -109,8 +114,7 @@ def clean_number_text(c: Column) -> Column:
 
 def text_to_number(c: Column) -> Column:
     """Dirty text to a double; empty text and junk are NULL, blank text is 0."""
-    number = F.regexp_extract(clean_number_text(c), NUMBER_SHAPE, 1).try_cast("double")
-    return F.when((c != "") & (strip_space(c) == ""), F.lit(0.0)).otherwise(number)
+    return plain_number(F.regexp_replace(clean_number_text(present(c)), "^$", "0"))
 
 
 def text_to_integer(c: Column) -> Column:

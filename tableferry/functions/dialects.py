@@ -72,24 +72,36 @@ def _number(c: Column, dtype: T.DataType) -> Column:
     return number_from_text(c) if is_text(dtype) else c.cast("double")
 
 
-def validate(dialect: str, c: Column, dtype: T.DataType, spec: ColumnSpec) -> Column:
+def _parsed(dialect: str, c: Column, dtype: T.DataType, spec: ColumnSpec) -> Column | None:
+    """The number or date a check looks at, where reading it takes work."""
+    family = family_of(dialect, spec.type)
+    if family in ("integer", "number"):
+        if is_text(dtype):
+            return number_from_text(c)
+        readable = is_number(dtype) or isinstance(dtype, T.BooleanType)
+        return c.cast("double") if readable else F.lit(None).cast("double")
+    if family == "date" and not isinstance(dtype, TEMPORAL):
+        return parse_iso(value_text(c, dtype))
+    return None
+
+
+def validate(dialect: str, c: Column, dtype: T.DataType, spec: ColumnSpec, parsed: Column | None = None) -> Column:
     """True where the value may be stored; NULL only in a nullable column."""
     family = family_of(dialect, spec.type)
-    numeric = is_text(dtype) or is_number(dtype) or isinstance(dtype, T.BooleanType)
+    if parsed is None:
+        parsed = _parsed(dialect, c, dtype, spec)
     if family == "integer":
-        n = _number(c, dtype) if numeric else F.lit(None).cast("double")
-        ok = (n == F.floor(n)) if not isinstance(dtype, T.BooleanType) else F.lit(True)
+        ok = parsed == F.floor(parsed)
         if dialect == "firebird" and spec.type.upper() in FIREBIRD_RANGES:
-            ok = ok & n.between(*FIREBIRD_RANGES[spec.type.upper()])
+            ok = ok & parsed.between(*FIREBIRD_RANGES[spec.type.upper()])
     elif family == "number":
-        n = _number(c, dtype) if numeric else F.lit(None).cast("double")
-        ok = n.isNotNull() & ~F.isnan(n)
+        ok = parsed.isNotNull() & ~F.isnan(parsed)
     elif family == "text":
         ok = F.lit(is_text(dtype))
         if dialect == "firebird" and spec.max_length and is_text(dtype):
             ok = F.char_length(c) <= spec.max_length
     elif family == "date":
-        ok = F.lit(True) if isinstance(dtype, TEMPORAL) else parse_iso(value_text(c, dtype)).isNotNull()
+        ok = F.lit(True) if parsed is None else parsed.isNotNull()
     elif family == "boolean":
         ok = F.lit(isinstance(dtype, T.BooleanType))
         if dialect in ("firebird", "mysql") and is_number(dtype):
@@ -135,9 +147,19 @@ def _typed(df: DataFrame, name: str) -> tuple[Column, T.DataType]:
 
 
 def validate_table(df: DataFrame, dialect: str, specs: Iterable[ColumnSpec], keep: Iterable[str]) -> DataFrame:
-    """The kept columns plus one ``<name>_ok`` verdict per checked column."""
-    checks = [validate(dialect, *_typed(df, s.name), s).alias(f"{s.name}_ok") for s in specs]
-    return df.select([F.col(k) for k in keep] + checks)
+    """The kept columns plus one ``<name>_ok`` verdict per checked column.
+
+    Numbers and dates are read once per row, ahead of the verdicts.
+    """
+    specs = list(specs)
+    read = {f"__{s.name}": _parsed(dialect, *_typed(df, s.name), s) for s in specs}
+    read = {n: c for n, c in read.items() if c is not None}
+    wide = df.withColumns(read) if read else df
+    checks = [
+        validate(dialect, *_typed(df, s.name), s, F.col(f"`__{s.name}`") if f"__{s.name}" in read else None).alias(f"{s.name}_ok")
+        for s in specs
+    ]
+    return wide.select([F.col(k) for k in keep] + checks)
 
 
 def coerce_table(df: DataFrame, dialect: str, specs: Iterable[ColumnSpec], keep: Iterable[str]) -> DataFrame:

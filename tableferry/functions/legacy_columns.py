@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tableferry.functions.convert import text_to_date
 from tableferry.functions.similarity import types_alike
-from tableferry.functions.text import is_text, parse_iso, value_text
+from tableferry.functions.text import NUMBER_SHAPE, is_text, parse_iso, present, strip_space, value_text
 from tableferry.functions.type_rules import spark_type
 
 # One-letter codes of the legacy types, and the target each gets.
@@ -50,8 +50,10 @@ def trimmed_text(c: Column) -> Column:
     return F.trim(c)
 
 
-def exact_number(c: Column, precision: int = 15, scale: int = 2) -> Column:
+def exact_number(c: Column, dtype: T.DataType, precision: int = 15, scale: int = 2) -> Column:
     """NUMBER and CURRENCY: an exact decimal, NULL when it does not fit."""
+    if is_text(dtype):
+        c = present(F.regexp_extract(strip_space(c), NUMBER_SHAPE, 1))
     return c.try_cast(f"decimal({precision},{scale})")
 
 
@@ -79,9 +81,9 @@ def legacy_column(
     if kind == "ALPHA":
         return trimmed_text(value_text(c, dtype))
     if kind == "NUMBER":
-        return exact_number(c, precision, scale)
+        return exact_number(c, dtype, precision, scale)
     if kind == "CURRENCY":
-        return exact_number(c)
+        return exact_number(c, dtype)
     if kind == "DATE":
         return text_to_date(c) if is_text(dtype) else c.try_cast("date")
     if kind == "TIME":
@@ -105,7 +107,7 @@ def sqlite_column(
     if s == "INTEGER" and t == "INTEGER":
         return c
     if s == "REAL" and "NUMERIC" in t:
-        return exact_number(c, precision, scale)
+        return exact_number(c, T.DoubleType(), precision, scale)
     if s == "DATETIME" and t == "TIMESTAMP":
         return parse_iso(c.cast("string"))
     if s == "BLOB" and "BLOB" in t:
@@ -149,7 +151,7 @@ def legacy_options(c: Column, options: Mapping) -> Column:
     if options.get("dates"):
         return text_to_date(c)
     if options.get("currency"):
-        return exact_number(c)
+        return exact_number(c, T.StringType())
     if options.get("timestamp_precision"):
         return F.date_trunc(options["timestamp_precision"], c).cast("timestamp_ntz")
     return c

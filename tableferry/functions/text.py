@@ -20,8 +20,8 @@ SPACE = (
 NUMBER_SHAPE = r"^([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)$"
 NUMBER_PREFIX = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
 INTEGER_PREFIX = r"^\s*([+-]?\d+)"
-ISO_DATE_TIME = r"^(\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?)?)(?:(?<=:\d\d|\.\d{1,9})(?:Z|[+-]\d{2}:?\d{2}))?$"
-ISO_OFFSET = r":\d{2}(?:\.\d+)?([+-]\d{2}:?\d{2})$"
+ISO_LOCAL = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?)?$"
+ISO_ZONED = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?(?:Z|[+-]\d{2}:?\d{2})$"
 
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 FRACTIONAL = (T.FloatType, T.DoubleType)
@@ -46,23 +46,34 @@ def drop_space(c: Column) -> Column:
 
 
 def round_half_up(c: Column) -> Column:
-    """Round to the nearest integer, halves towards plus infinity (-2.5 -> -2)."""
-    low = F.floor(c)
-    return F.when(c - low >= 0.5, low + 1).otherwise(low)
+    """Round to the nearest integer, halves towards plus infinity (-2.5 -> -2).
+
+    Written without a condition so that Spark evaluates ``c`` only once.
+    """
+    return F.floor(c) + (c - F.floor(c) >= 0.5).cast("bigint")
 
 
 def number_from_text(c: Column) -> Column:
     """The number a piece of text spells, NULL when it spells none; blank is 0."""
-    t = strip_space(c)
-    return F.when(t == "", F.lit(0.0)).otherwise(F.regexp_extract(t, NUMBER_SHAPE, 1).try_cast("double"))
+    return plain_number(F.regexp_replace(strip_space(c), "^$", "0"))
+
+
+def present(c: Column) -> Column:
+    """NULL for empty text: a cast that fails on text is slow, one on NULL is not."""
+    return F.nullif(c, F.lit(""))
+
+
+def plain_number(c: Column) -> Column:
+    """A number written plainly, NULL for anything else."""
+    return present(F.regexp_extract(c, NUMBER_SHAPE, 1)).try_cast("double")
 
 
 def leading_integer(c: Column) -> Column:
-    return F.regexp_extract(c, INTEGER_PREFIX, 1).try_cast("bigint")
+    return present(F.regexp_extract(c, INTEGER_PREFIX, 1)).try_cast("bigint")
 
 
 def leading_number(c: Column) -> Column:
-    return F.regexp_extract(c, NUMBER_PREFIX, 1).try_cast("double")
+    return present(F.regexp_extract(c, NUMBER_PREFIX, 1)).try_cast("double")
 
 
 def number_to_text(c: Column, dtype: T.DataType) -> Column:
@@ -103,10 +114,9 @@ def value_text(c: Column, dtype: T.DataType) -> Column:
 def parse_iso(c: Column) -> Column:
     """ISO date or date-time text to a zone-free UTC timestamp, NULL otherwise."""
     t = strip_space(c)
-    local = F.regexp_extract(t, ISO_DATE_TIME, 1).try_cast("timestamp_ntz")
-    offset = F.replace(F.regexp_extract(t, ISO_OFFSET, 1), F.lit(":"), F.lit("")).try_cast("int")
-    minutes = F.coalesce(offset - F.lit(40) * F.floor(F.abs(offset) / 100) * F.signum(offset), F.lit(0))
-    return local - F.make_dt_interval(mins=minutes.cast("int"))
+    local = F.regexp_extract(t, ISO_LOCAL, 0).try_cast("timestamp_ntz")
+    instant = F.regexp_extract(t, ISO_ZONED, 0).try_cast("timestamp")
+    return F.coalesce(local, F.to_utc_timestamp(instant, F.current_timezone()).cast("timestamp_ntz"))
 
 
 def truthy(c: Column, dtype: T.DataType) -> Column:

@@ -30,12 +30,19 @@ from tableferry.functions.similarity import (
     type_similarity,
     with_similarity,
 )
+from tableferry.session import ensure_checkpoints
 
 CELL_NAMES = 4096
 NAMES_PER_TASK = 256
 SCORE_DIGITS = 6
 
 
+def settled(catalog: DataFrame) -> DataFrame:
+    """A catalog written once to the shared folder: matching reads it many times."""
+    ensure_checkpoints(catalog.sparkSession)
+    return catalog.checkpoint()
+
+
 def _cells(rows: int) -> int:
     return max(1, -(-rows // CELL_NAMES))
 
@@ -60,18 +67,24 @@ def best_matches(src: DataFrame, tgt: DataFrame, per_table: bool) -> DataFrame:
     n_w = max(_cells(rows_w), min(parallel, -(-rows_w // NAMES_PER_TASK)), 1)
     n_o = _cells(rows_o)
 
-    # Every wanted cell meets every offered cell once.  A name offered by many
-    # tables is spread over all offered cells, so no name can make a cell grow.
+    # Every wanted cell meets every offered cell once.  A name keeps to one cell
+    # unless so many tables offer it that its rows must be spread over several.
+    crowd = offered.groupBy("t_name").agg(F.ceil(F.count(F.lit(1)) / CELL_NAMES).alias("parts"))
+    cell = F.xxhash64("t_name") + F.pmod(F.xxhash64("t_table"), F.col("parts"))
     w = wanted.withColumn("cw", F.pmod(F.xxhash64("name"), F.lit(n_w))).withColumn(
         "co", F.explode(F.sequence(F.lit(0), F.lit(n_o - 1)))
     )
-    o = offered.withColumn("co", F.pmod(F.xxhash64("t_name", "t_type", "t_table"), F.lit(n_o)).cast("int")).withColumn(
-        "cw", F.explode(F.sequence(F.lit(0), F.lit(n_w - 1)))
+    o = (
+        offered.join(crowd, "t_name")
+        .withColumn("co", F.pmod(cell, F.lit(n_o)).cast("int"))
+        .withColumn("cw", F.explode(F.sequence(F.lit(0), F.lit(n_w - 1))))
+        .drop("parts")
     )
     w = w.select(F.col("cw").cast("int"), "co", "name", "type")
     found = (
-        w.groupBy("cw", "co")
-        .cogroup(o.groupBy("cw", "co"))
+        w.repartition(n_w * n_o, "cw", "co")
+        .groupBy("cw", "co")
+        .cogroup(o.repartition(n_w * n_o, "cw", "co").groupBy("cw", "co"))
         .applyInPandas(_scan_cell(per_table), "name string, type string, t_table string, t_ordinal int, t_column string, score double")
     )
     keys = ["name", "type"] + (["t_table"] if per_table else [])
@@ -108,18 +121,26 @@ def _scan_cell(per_table: bool):
         codes = np.zeros((width, len(names)), dtype=np.uint32)
         for k, n in enumerate(names):
             codes[: len(n), k] = [ord(ch) for ch in n]
-        steps = np.arange(width + 1, dtype=np.int16)[:, None]
+        small = np.int8 if width < 100 else np.int32
         everyone = np.arange(len(names))
+        first = np.repeat(np.arange(width + 1, dtype=small)[:, None], len(names), axis=1)
+        spare = np.empty(len(names), dtype=small)
 
         def distances(word):
-            row = np.repeat(steps, len(names), axis=1)
+            row, nxt = first.copy(), np.empty_like(first)
+            if len(word) >= 100:
+                row, nxt = row.astype(np.int32), nxt.astype(np.int32)
+            left = spare.astype(row.dtype)
             for i, ch in enumerate(word, 1):
-                swap = row[:-1] + (codes != ord(ch))
-                nxt = np.empty_like(row)
+                np.add(row[:-1], codes != ord(ch), out=nxt[1:])
+                row += 1
+                np.minimum(nxt[1:], row[1:], out=nxt[1:])
                 nxt[0] = i
-                np.minimum(row[1:] + 1, swap, out=nxt[1:])
-                row = np.minimum.accumulate(nxt - steps, axis=0) + steps
-            return row[sizes, everyone]
+                for j in range(1, width + 1):
+                    np.add(nxt[j - 1], 1, out=left)
+                    np.minimum(nxt[j], left, out=nxt[j])
+                row, nxt = nxt, row
+            return row[sizes, everyone].astype(np.int64)
 
         def likeness(word):
             longest = np.maximum(sizes, len(word))
@@ -163,6 +184,7 @@ def column_match(src: DataFrame, tgt: DataFrame) -> DataFrame:
 
     Several source columns may share a target.  Confidence is the score x 100.
     """
+    src, tgt = settled(src), settled(tgt)
     best = best_matches(src, tgt, per_table=False).where(F.col("score") > COLUMN_THRESHOLD)
     keyed = src.select(
         F.col("table_name").alias("source_table"),
@@ -209,6 +231,7 @@ def table_match(src: DataFrame, tgt: DataFrame) -> DataFrame:
 
     Structure averages over source columns only, so it is not symmetric.
     """
+    src, tgt = settled(src), settled(tgt)
     return _table_scores(src, best_matches(src, tgt, per_table=True), tgt)
 
 
@@ -230,6 +253,7 @@ def table_suggestions(src: DataFrame, tgt: DataFrame) -> DataFrame:
 
 def auto_map(src: DataFrame, tgt: DataFrame) -> DataFrame:
     """Tables whose best suggestion reaches 0.7, with their column mappings."""
+    src, tgt = settled(src), settled(tgt)
     best = best_matches(src, tgt, per_table=True)
     winners = (
         _table_scores(src, best, tgt)
@@ -291,6 +315,7 @@ def name_containment_map(src: DataFrame, tgt: DataFrame) -> DataFrame:
 
     Returns one row per mapped source column with its compatibility score.
     """
+    src, tgt = settled(src), settled(tgt)
     s_tables = src.select("table_name").distinct().select(F.col("table_name").alias("source_table"), F.lower("table_name").alias("s_key"))
     t_tables = tgt.select("table_name").distinct().select(F.col("table_name").alias("target_table"), F.lower("table_name").alias("t_key"))
     pairs = contained_names(s_tables, "s_key", t_tables, "t_key")

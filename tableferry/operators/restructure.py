@@ -46,6 +46,16 @@ def map_structure(
     return df.select(out)
 
 
+def keep_computed(df: DataFrame, condition: Column) -> DataFrame:
+    """Keep the rows where a condition on computed columns holds.
+
+    A plain filter would be pushed below the projection and compute those
+    columns a second time; here each row is computed once and then kept or not.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return df.select(F.inline(F.array_compact(F.array(F.when(condition, row)))))
+
+
 def mapped_column(m: ColumnMapping, source: Column) -> Column:
     """One target column: direct, by expression, or cast to the target type."""
     if m.expression:

@@ -13,7 +13,9 @@ def build_session(app: str = "tableferry", master: str | None = None, **conf: st
 
     Shuffle partition counts are left to AQE, which splits skewed partitions
     and coalesces small ones; pass ``spark.sql.shuffle.partitions`` in ``conf``
-    to raise the ceiling for a larger cluster.
+    to raise the ceiling for a larger cluster.  Tables with very many converted
+    columns generate methods the JVM would not compile, so the size at which
+    Spark splits generated code is lowered to the JVM's own limit.
     """
     builder = SparkSession.builder.appName(app)
     if master:
@@ -23,6 +25,8 @@ def build_session(app: str = "tableferry", master: str | None = None, **conf: st
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.codegen.hugeMethodLimit": "8000",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.scheduler.mode": "FAIR",
         **conf,
     }

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,33 +41,28 @@ def declared_columns(df: DataFrame, table: str) -> list[tuple]:
     return rows
 
 
+def _text(value) -> str:
+    """A SQL literal."""
+    return "NULL" if value is None else str(value) if isinstance(value, int) else "'" + str(value).replace("'", "\\'") + "'"
+
+
 def table_catalog(df: DataFrame, table: str) -> DataFrame:
     """Profile one table in a single aggregate and unfold it to one row per column."""
-    aggs: list[Column] = [F.count(F.lit(1)).alias("n")]
-    for i, f in enumerate(df.schema):
-        c = F.col(f"`{f.name}`")
-        aggs.append(F.count(c).alias(f"v{i}"))
-        if isinstance(f.dataType, T.StringType):
-            aggs.append(F.max(F.char_length(c)).alias(f"m{i}"))
-    facts = []
+    schema = df.schema
+    aggs, facts = ["count(1) AS n"], []
     for i, row in enumerate(declared_columns(df, table)):
         _, ordinal, column, type_name, original, precision, scale = row
-        text = isinstance(df.schema[i].dataType, T.StringType)
+        aggs.append(f"count(`{column}`) AS v{i}")
+        longest = "NULL"
+        if isinstance(schema[i].dataType, T.StringType):
+            aggs.append(f"max(char_length(`{column}`)) AS m{i}")
+            longest = f"m{i}"
         facts.append(
-            F.struct(
-                F.lit(table).alias("table_name"),
-                F.lit(ordinal).alias("ordinal"),
-                F.lit(column).alias("column_name"),
-                F.lit(type_name).alias("type"),
-                F.lit(original).alias("original_type"),
-                (F.col(f"v{i}") < F.col("n")).alias("nullable"),
-                (F.col(f"m{i}") if text else F.lit(None)).cast("int").alias("max_length"),
-                F.lit(precision).cast("int").alias("precision"),
-                F.lit(scale).cast("int").alias("scale"),
-                F.col("n").alias("row_count"),
-            )
+            f"struct({_text(table)} AS table_name, {ordinal} AS ordinal, {_text(column)} AS column_name, {_text(type_name)} AS type, "
+            f"{_text(original)} AS original_type, v{i} < n AS nullable, CAST({longest} AS INT) AS max_length, "
+            f"CAST({_text(precision)} AS INT) AS precision, CAST({_text(scale)} AS INT) AS scale, n AS row_count)"
         )
-    return df.agg(*aggs).select(F.inline(F.array(*facts)))
+    return df.selectExpr(*aggs).selectExpr(f"inline(array({', '.join(facts)}))")
 
 
 def schema_catalog(tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -101,30 +96,25 @@ def schema_summary(catalog: DataFrame) -> DataFrame:
 def key_candidates(tables: Mapping[str, DataFrame], digest: Mapping[str, tuple[str, ...]] | None = None) -> DataFrame:
     """Columns that could be a primary key: no nulls and as many values as rows.
 
-    Counts are exact.  Each table is read once; partial aggregation collapses
-    repeated values before the shuffle.  Long text listed in ``digest`` is
-    compared by its SHA-256 so that whole documents are not shuffled.
+    Counts are exact.  Every column is read alone and counted alone, so partial
+    aggregation collapses its repeated values before the shuffle.  Long text
+    listed in ``digest`` is compared by its SHA-256 so that whole documents are
+    not shuffled.
     """
     digest = digest or {}
     out = []
     for name, df in tables.items():
-        columns = [f.name for f in df.schema if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
-        aggs = [F.count(F.lit(1)).alias("n")]
-        for i, column in enumerate(columns):
-            c = F.col(f"`{column}`")
-            value = F.sha2(c, 256) if column in digest.get(name, ()) else c
-            aggs += [F.count(c).alias(f"v{i}"), F.count_distinct(value).alias(f"d{i}")]
-        facts = F.array(
-            *[
-                F.struct(
-                    F.lit(name).alias("table_name"),
-                    F.lit(column).alias("column_name"),
-                    F.col("n").alias("row_count"),
-                    F.col(f"d{i}").alias("distinct_count"),
-                    ((F.col("n") > 0) & (F.col(f"v{i}") == F.col("n")) & (F.col(f"d{i}") == F.col("n"))).alias("is_candidate"),
+        for f in df.schema:
+            if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+                continue
+            value = f"sha2(`{f.name}`, 256)" if f.name in digest.get(name, ()) else f"`{f.name}`"
+            out.append(
+                df.selectExpr("count(1) AS n", f"count(`{f.name}`) AS v", f"count(DISTINCT {value}) AS d").selectExpr(
+                    f"{_text(name)} AS table_name",
+                    f"{_text(f.name)} AS column_name",
+                    "n AS row_count",
+                    "d AS distinct_count",
+                    "n > 0 AND v = n AND d = n AS is_candidate",
                 )
-                for i, column in enumerate(columns)
-            ]
-        )
-        out.append(df.agg(*aggs).select(F.inline(facts)))
+            )
     return reduce(DataFrame.unionByName, out)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tableferry.sources.tables import spread
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
     "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -25,7 +27,7 @@ def all_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 def legacy_orders(spark: SparkSession, folder: str) -> DataFrame:
     """Orders with mixed date and number formats, padded text and a T/F flag."""
-    return table(spark, folder, "orders").selectExpr(
+    return spread(table(spark, folder, "orders")).selectExpr(
         "lpad(CAST(o_orderkey AS STRING), 10, '0') AS order_no",
         "CAST(o_custkey AS STRING) AS cust_no",
         """CASE CAST(o_orderkey % 6 AS INT)
@@ -51,7 +53,7 @@ def legacy_orders(spark: SparkSession, folder: str) -> DataFrame:
 
 def legacy_customer(spark: SparkSession, folder: str) -> DataFrame:
     """Customers with padded names, halves to round and an out-of-range code."""
-    return table(spark, folder, "customer").selectExpr(
+    return spread(table(spark, folder, "customer")).selectExpr(
         "CAST(c_custkey AS STRING) AS cust_no",
         "rpad(c_name, 30, ' ') AS name_alpha",
         "CAST(CAST(c_acctbal AS DECIMAL(15,2)) AS STRING) AS balance_txt",

@@ -15,6 +15,7 @@ from tableferry.functions.type_rules import adapt_long_varchar as adapt
 from tableferry.functions.type_rules import clean_default
 from tableferry.operators import loading, numbering, restructure
 from tableferry.operators.ddl import target_ddl as ddl
+from tableferry.operators.restructure import keep_computed
 from tableferry.plans.migrate import FolderTarget, compile_plan, migrate
 from tableferry.plans.model import ColumnMapping, MigrationPlan, TableMapping
 from tableferry.session import fresh_path
@@ -270,9 +271,9 @@ def marked_orders(spark: SparkSession, d: str) -> DataFrame:
 )
 def migrate_orders(spark, d):
     """Flagship: filter, trim, convert, map flags, rename, keep the good rows."""
-    good = marked_orders(spark, d).where("status <> 'P' AND is_good").drop("is_good")
-    return good.withColumn("total", F.col("total").cast("decimal(15,2)")).select(
-        "order_id", "customer_id", "order_date", "total", "status", "priority", "paid"
+    good = keep_computed(marked_orders(spark, d).where("status <> 'P'"), F.col("is_good"))
+    return good.select(
+        "order_id", "customer_id", "order_date", F.col("total").cast("decimal(15,2)").alias("total"), "status", "priority", "paid"
     )
 
 
