@@ -32,7 +32,7 @@ from tableferry.functions.similarity import (
 )
 from tableferry.session import ensure_checkpoints
 
-CELL_NAMES = 4096
+CELL_NAMES = 1 << 16
 NAMES_PER_TASK = 256
 SCORE_DIGITS = 6
 
@@ -55,12 +55,20 @@ def best_matches(src: DataFrame, tgt: DataFrame, per_table: bool) -> DataFrame:
     one row per source.  Ties go to the first target in (table, ordinal) order.
     """
     wanted = src.select(plain_name(F.col("column_name")).alias("name"), F.upper("type").alias("type")).distinct()
+    # Of the target columns with one name and type only the first can win.
+    alike = [plain_name(F.col("column_name")).alias("t_name"), F.upper("type").alias("t_type")]
+    if per_table:
+        alike.append(F.col("table_name").alias("owner"))
     offered = (
-        tgt.groupBy(
-            plain_name(F.col("column_name")).alias("t_name"), F.upper("type").alias("t_type"), F.col("table_name").alias("t_table")
+        tgt.groupBy(*alike)
+        .agg(F.min(F.struct("table_name", "ordinal", "column_name")).alias("first"))
+        .select(
+            "t_name",
+            "t_type",
+            F.col("first.table_name").alias("t_table"),
+            F.col("first.ordinal").alias("t_ordinal"),
+            F.col("first.column_name").alias("t_column"),
         )
-        .agg(F.min(F.struct("ordinal", "column_name")).alias("first"))
-        .select("t_name", "t_type", "t_table", F.col("first.ordinal").alias("t_ordinal"), F.col("first.column_name").alias("t_column"))
     )
     parallel = src.sparkSession.sparkContext.defaultParallelism
     rows_w, rows_o = wanted.count(), offered.count()
