@@ -34,6 +34,26 @@ def latest_mappings(log: DataFrame, key: str = "id", order: str = "seq", op: str
     return last.where(F.col(f"last.{op}") != "delete").select(key, *[F.col(f"last.{c}").alias(c) for c in rest if c != op])
 
 
+def merge_updates(log: DataFrame, key: str = "id", order: str = "seq", op: str = "op") -> DataFrame:
+    """State of the store when changes may be partial.
+
+    ``put`` replaces a mapping, ``update`` overwrites the fields it gives (the
+    ones that are not NULL) of a mapping that exists, ``delete`` removes it.
+    Only the last ``put`` or ``delete`` per id matters, so it is found by a
+    small aggregate, and the changes since then are folded field by field.
+    """
+    fields = [c for c in log.columns if c not in (key, order, op)]
+    resets = (
+        log.where(F.col(op) != "update")
+        .groupBy(key)
+        .agg(F.max(order).alias("__from"), F.max_by(op, order).alias("__last"))
+        .where(F.col("__last") == "put")
+    )
+    since = log.join(resets, key).where(F.col(order) >= F.col("__from"))
+    given = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in fields]
+    return since.groupBy(key).agg(F.max(order).alias(order), *given)
+
+
 def mapping_errors(tables: DataFrame, columns: DataFrame, src: DataFrame, tgt: DataFrame) -> DataFrame:
     """Tables and columns that mappings name but the catalogs do not have.
 

@@ -8,6 +8,7 @@ construction, and only one total per block travels to the next level.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,8 +20,18 @@ BLOCK_FAN = 1 << 12
 
 
 def block_of(position: Column, size: int) -> Column:
-    """The block an integer position falls into; also right for negatives."""
-    return ((position - F.pmod(position, F.lit(size).cast("bigint"))) / size).cast("bigint")
+    """The block of ``size`` positions, a power of two, that a position falls into."""
+    bits = size.bit_length() - 1
+    if size != 1 << bits:
+        raise ValueError("block sizes are powers of two")
+    return F.shiftright(position.cast("bigint"), bits)
+
+
+def _join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join that also matches NULL keys; the right keys are dropped."""
+    renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys])
+    return left.join(renamed, on).drop(*[f"__r_{k}" for k in keys])
 
 
 def running_total(
@@ -33,39 +44,49 @@ def running_total(
     totals are added up the same way and joined back.
     """
     keys = list(keys)
-    block = df.withColumn("__block", block_of(F.col(position).cast("bigint"), fan))
-    totals = block.groupBy(*keys, "__block").agg(F.sum(value).alias("__total"))
-    upper = totals.withColumn("__upper", block_of(F.col("__block"), fan))
-    tops = upper.groupBy(*keys, "__upper").agg(F.sum("__total").alias("__top"))
     before = (Window.unboundedPreceding, -1)
+    block = df.withColumn("__block", block_of(F.col(position), fan))
+    upper = (
+        block.groupBy(*keys, "__block").agg(F.sum(value).alias("__total")).withColumn("__upper", block_of(F.col("__block"), fan))
+    )
     outer = Window.partitionBy(*keys, F.lit(0)).orderBy("__upper").rowsBetween(*before)
-    tops = tops.select(*keys, "__upper", F.coalesce(F.sum("__top").over(outer), F.lit(0)).alias("__t"))
+    tops = (
+        upper.groupBy(*keys, "__upper")
+        .agg(F.sum("__total").alias("__top"))
+        .select(*keys, "__upper", F.coalesce(F.sum("__top").over(outer), F.lit(0)).alias("__t"))
+    )
     inner = Window.partitionBy(*keys, "__upper").orderBy("__block").rowsBetween(*before)
-    starts = (
-        upper.withColumn("__b", F.coalesce(F.sum("__total").over(inner), F.lit(0)))
-        .join(tops, [*keys, "__upper"])
-        .select(*keys, "__block", (F.col("__b") + F.col("__t")).alias("__start"))
+    starts = _join(upper.withColumn("__b", F.coalesce(F.sum("__total").over(inner), F.lit(0))), tops, [*keys, "__upper"]).select(
+        *keys, "__block", (F.col("__b") + F.col("__t")).alias("__start")
     )
     within = Window.partitionBy(*keys, "__block").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        block.join(starts, [*keys, "__block"])
+        _join(block, starts, [*keys, "__block"])
         .withColumn(out, F.sum(value).over(within) + F.col("__start"))
         .drop("__block", "__start")
     )
 
 
+def _starts(sizes: DataFrame, block: str) -> DataFrame:
+    """Where each block's numbers start, from one row count per block.
+
+    The counts are written to the shared folder first, so the rows behind them
+    are read once however often the counts are added up.
+    """
+    ensure_checkpoints(sizes.sparkSession)
+    return running_total(sizes.checkpoint(), block, "__n", "__end").select(block, (F.col("__end") - F.col("__n")).alias("__from"))
+
+
 def number_by_key(df: DataFrame, key: str, out: str, start: int = 1, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Dense numbers in the order of a unique integer key.
 
     The first pass reads only the key column and counts rows per block of keys;
     the second numbers rows inside each block.  A block never holds more than
-    ``block_rows`` rows because its keys are distinct.
+    ``block_rows`` rows because its keys are distinct and not NULL.
     """
-    marked = df.withColumn("__kb", block_of(F.col(key).cast("bigint"), block_rows))
-    sizes = df.select(block_of(F.col(key).cast("bigint"), block_rows).alias("__kb")).groupBy("__kb").agg(
-        F.count(F.lit(1)).alias("__n")
-    )
-    starts = running_total(sizes, "__kb", "__n", "__end").select("__kb", (F.col("__end") - F.col("__n")).alias("__from"))
+    marked = df.withColumn("__kb", block_of(F.col(key), block_rows))
+    sizes = marked.groupBy("__kb").agg(F.count(F.lit(1)).alias("__n"))
+    starts = _starts(sizes, "__kb")
     order = Window.partitionBy("__kb").orderBy(key)
     return (
         marked.join(starts, "__kb")
@@ -92,7 +113,7 @@ def number_by_order(df: DataFrame, order: Sequence[str], out: str, start: int =
         F.col("__mid").bitwiseAND(F.lit((1 << 33) - 1)).alias("__row"),
     )
     sizes = placed.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
-    starts = running_total(sizes, "__pid", "__n", "__end").select("__pid", (F.col("__end") - F.col("__n")).alias("__from"))
+    starts = _starts(sizes, "__pid")
     return (
         placed.join(F.broadcast(starts), "__pid")
         .withColumn(out, F.col("__from") + F.col("__row") + start)

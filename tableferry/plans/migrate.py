@@ -69,7 +69,8 @@ class FolderTarget:
 def migrate(spark: SparkSession, source, target: FolderTarget, plan: MigrationPlan) -> DataFrame:
     """Run a plan and return its run log, one row per table.
 
-    Tables are loaded ``parallel_tables`` at a time by independent Spark jobs.
+    Tables are loaded ``parallel_tables`` at a time by independent Spark jobs, each
+    in a scheduler pool of its own.
     A failing table stops the run unless ``skip_errors`` is set.  A dry run
     computes and counts every row but writes nothing.
     """
@@ -81,6 +82,7 @@ def migrate(spark: SparkSession, source, target: FolderTarget, plan: MigrationPl
         name = plan.target_name(table)
         started = datetime.now(timezone.utc).replace(tzinfo=None)
         rows, status, error = 0, "completed", None
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"load-{name}")
         try:
             df, seen = observed(compile_table(source.read(spark, table), table, plan), f"load-{name}")
             if plan.dry_run:

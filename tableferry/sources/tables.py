@@ -155,12 +155,9 @@ def run_query(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame], ar
     return spark.sql(sql, args=args, **tables)
 
 
-def choose_tables(catalog_tables: DataFrame, wanted: Iterable[str] | str, spark: SparkSession) -> DataFrame:
+def choose_tables(catalog_tables: DataFrame, wanted: Iterable[str] | str) -> DataFrame:
     """``all`` tables, or those requested names that exist."""
-    if wanted == "all":
-        return catalog_tables
-    names = spark.createDataFrame([(n,) for n in wanted], "table_name string")
-    return catalog_tables.join(F.broadcast(names), "table_name", "left_semi")
+    return catalog_tables if wanted == "all" else catalog_tables.where(F.col("table_name").isin(list(wanted)))
 
 
 def include_exclude(catalog_tables: DataFrame, include: Iterable[str] = (), exclude: Iterable[str] = ()) -> DataFrame:

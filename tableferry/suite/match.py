@@ -177,12 +177,12 @@ def fk_detect(spark, d):
          FROM maps m JOIN relationships r ON r.source_table = m.source_table OR r.target_table = m.target_table"""
 )
 def apply_relationships(spark, d):
-    src, tgt = legacy.catalog_fk_src(spark, d), legacy.catalog_fk_tgt(spark, d)
+    src, tgt = mt.settled(legacy.catalog_fk_src(spark, d)), legacy.catalog_fk_tgt(spark, d)
     codes = src.where("column_name LIKE '%_CODE'").select(
         F.col("table_name").alias("source_table"), F.expr("split_part(column_name, '_', 2)").alias("target_table")
     )
     maps = codes.distinct().select(F.concat_ws("_to_", "source_table", "target_table").alias("mapping_id"), "source_table", "target_table")
-    return mp.apply_relationships(maps, mt.detect_foreign_keys(src, tgt))
+    return mp.apply_relationships(maps, mt.settled(mt.detect_foreign_keys(src, tgt)))
 
 
 _BROKEN = """, cols AS (SELECT concat(table_name, '_map') AS mapping_id, CASE WHEN table_name IN ('T_3', 'T_7') THEN concat(table_name, '_GONE') ELSE table_name END AS source_table,
@@ -202,7 +202,7 @@ maps AS (SELECT DISTINCT mapping_id, source_table, target_table FROM cols)"""
            WHERE target_table IN (SELECT table_name FROM catalog_tgt) AND (target_table, target_column) NOT IN (SELECT (table_name, column_name) FROM catalog_tgt)"""
 )
 def mapping_errors(spark, d):
-    src, tgt = sides(spark, d)
+    src, tgt = (mt.settled(c) for c in sides(spark, d))
     columns = src.select(
         F.concat("table_name", F.lit("_map")).alias("mapping_id"),
         F.expr("CASE WHEN table_name IN ('T_3', 'T_7') THEN concat(table_name, '_GONE') ELSE table_name END").alias("source_table"),
@@ -253,6 +253,27 @@ def mapping_upsert(spark, d):
     return mp.latest_mappings(mapping_log(spark, d))
 
 
+_UPDATES = f"""SELECT id, seq, CASE WHEN seq % 5 = 0 THEN 'put' WHEN op = 'delete' AND seq % 3 = 0 THEN 'delete' ELSE 'update' END AS op,
+    CASE WHEN seq % 5 = 0 OR seq % 2 = 0 THEN source_table END AS source_table, CASE WHEN seq % 5 = 0 OR seq % 2 = 1 THEN confidence END AS confidence FROM ({_LOG})"""
+
+
+@query(
+    f"""WITH u AS ({_UPDATES}), r AS (SELECT id, max(seq) AS f, arg_max(op, seq) AS o FROM u WHERE op <> 'update' GROUP BY 1)
+        SELECT u.id, max(seq) AS seq, arg_max(source_table, seq) FILTER (WHERE source_table IS NOT NULL) AS source_table,
+        arg_max(confidence, seq) FILTER (WHERE confidence IS NOT NULL) AS confidence
+        FROM u JOIN r ON u.id = r.id AND o = 'put' AND seq >= f GROUP BY 1"""
+)
+def mapping_partial_update(spark, d):
+    log = mapping_log(spark, d).selectExpr(
+        "id",
+        "seq",
+        "CASE WHEN seq % 5 = 0 THEN 'put' WHEN op = 'delete' AND seq % 3 = 0 THEN 'delete' ELSE 'update' END AS op",
+        "CASE WHEN seq % 5 = 0 OR seq % 2 = 0 THEN source_table END AS source_table",
+        "CASE WHEN seq % 5 = 0 OR seq % 2 = 1 THEN confidence END AS confidence",
+    )
+    return mp.merge_updates(log)
+
+
 @query(f"SELECT id, source_table, target_table, enabled, confidence, 1 AS column_count, concat('c', seq % 10) AS first_column FROM ({_LOG})")
 def mapping_json_roundtrip(spark, d):
     """Export every mapping version to JSON text and read it back."""

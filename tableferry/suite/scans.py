@@ -165,7 +165,7 @@ def key_candidates(spark, d):
 @query(f"SELECT * FROM ({_COUNTS}) WHERE table_name IN ('orders', 'lineitem', 'customer')")
 def table_select(spark, d):
     found = catalog.list_tables(legacy.all_tables(spark, d))
-    return tables.choose_tables(found, ["orders", "lineitem", "customer", "no_such_table"], spark)
+    return tables.choose_tables(found, ["orders", "lineitem", "customer", "no_such_table"])
 
 
 @query(f"SELECT * FROM ({_COUNTS}) WHERE table_name IN ('orders', 'lineitem', 'customer', 'events') AND table_name NOT IN ('events', 'part')")

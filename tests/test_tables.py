@@ -98,8 +98,8 @@ def test_sources_list_and_refuse(spark, tmp_path):
 
 def test_table_choice_keeps_existing_names_only(spark):
     found = spark.createDataFrame([("a", 1), ("b", 2)], "table_name string, row_count bigint")
-    assert {r.table_name for r in tables.choose_tables(found, ["b", "zz"], spark).collect()} == {"b"}
-    assert tables.choose_tables(found, "all", spark) is found
+    assert {r.table_name for r in tables.choose_tables(found, ["b", "zz"]).collect()} == {"b"}
+    assert tables.choose_tables(found, "all") is found
     assert {r.table_name for r in tables.include_exclude(found, [], ["a"]).collect()} == {"b"}
 
 
@@ -189,6 +189,33 @@ def test_mapping_store(spark):
     assert {r.id: r.t for r in mp.latest_mappings(log).collect()} == {"m1": "b", "m3": "d"}
 
 
+def test_partial_updates_merge_since_the_last_put(spark):
+    log = spark.createDataFrame(
+        [
+            ("m1", 1, "put", "a", 1), ("m1", 2, "update", None, 5), ("m1", 3, "update", "z", None),
+            ("m2", 1, "put", "b", 2), ("m2", 2, "delete", None, None), ("m2", 3, "update", "lost", 9),
+            ("m3", 1, "put", "c", 3), ("m3", 2, "update", "old", 4), ("m3", 3, "put", "d", None),
+        ],
+        "id string, seq int, op string, t string, n int",
+    )
+    assert {r.id: (r.t, r.n) for r in mp.merge_updates(log).collect()} == {"m1": ("z", 5), "m3": ("d", None)}
+
+
+def test_running_total_keeps_null_keys(spark):
+    df = spark.createDataFrame([(None, 1, 2), (None, 2, 3), ("a", 1, 7)], "k string, p int, v int")
+    got = sorted((r.k or "", r.p, r.s) for r in numbering.running_total(df, "p", "v", "s", ["k"]).collect())
+    assert got == [("", 1, 2), ("", 2, 5), ("a", 1, 7)]
+    with pytest.raises(ValueError):
+        numbering.block_of(F.col("p"), 10)
+
+
+def test_other_file_formats(spark, tmp_path):
+    spark.createDataFrame([(1, "x"), (2, "y")], "id int, v string").write.csv(f"{tmp_path}/t.csv", header=True)
+    source = tables.TableSource(str(tmp_path), ("t",), "csv", {"header": "true", "inferSchema": "false"}, ".csv")
+    got = source.scan(spark, "t", tables.ScanRequest("id = '2'"))
+    assert [tuple(r) for r in got.collect()] == [("2", "y")]
+
+
 def test_mapping_errors_split_joined_sources(spark):
     src = spark.createDataFrame([("a", "x"), ("b", "y")], "table_name string, column_name string")
     maps = spark.createDataFrame([("m", "a, b", "a"), ("n", "a,zz", "b")], "mapping_id string, source_table string, target_table string")
