@@ -27,6 +27,7 @@ from tableferry.functions.similarity import (
     compatibility_score,
     plain_name,
     similarity_reason,
+    six_digits,
     type_similarity,
     with_similarity,
 )
@@ -34,7 +35,6 @@ from tableferry.session import ensure_checkpoints
 
 CELL_NAMES = 1 << 16
 NAMES_PER_TASK = 256
-SCORE_DIGITS = 6
 
 
 def settled(catalog: DataFrame) -> DataFrame:
@@ -112,7 +112,7 @@ def best_matches(src: DataFrame, tgt: DataFrame, per_table: bool) -> DataFrame:
 def _scan_cell(per_table: bool):
     """The per-cell search, self-contained so that workers need no package."""
     group_of, contained, same_group = dict(GROUP_OF), CONTAINED, SAME_GROUP
-    w_name, w_type, digits = NAME_WEIGHT, TYPE_WEIGHT, SCORE_DIGITS
+    w_name, w_type = NAME_WEIGHT, TYPE_WEIGHT
 
     def scan(left, right):
         import numpy as np
@@ -172,7 +172,7 @@ def _scan_cell(per_table: bool):
                 close = np.array(
                     [1.0 if t == kind else (same_group if kind in group_of and group_of[kind] == group_of.get(t) else 0.0) for t in types]
                 )
-                score = np.round(s * w_name + close[type_at] * w_type, digits)
+                score = np.floor((s * w_name + close[type_at] * w_type) * 1e6 + 0.5) / 1e6
                 if per_table:
                     tops = np.maximum.reduceat(score, edges)
                     bounds = np.r_[edges[1:], len(score)]
@@ -227,10 +227,10 @@ def _table_scores(src: DataFrame, best: DataFrame, tgt: DataFrame) -> DataFrame:
     return scored.select(
         "source_table",
         "target_table",
-        F.round(name_score, SCORE_DIGITS).alias("name_score"),
-        F.round(ratio, SCORE_DIGITS).alias("count_ratio"),
-        F.round("structure", SCORE_DIGITS).alias("structure_score"),
-        F.round(total, SCORE_DIGITS).alias("score"),
+        six_digits(name_score).alias("name_score"),
+        six_digits(ratio).alias("count_ratio"),
+        six_digits(F.col("structure")).alias("structure_score"),
+        six_digits(total).alias("score"),
     )
 
 

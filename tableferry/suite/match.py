@@ -82,7 +82,7 @@ np AS MATERIALIZED (SELECT a, b, {q.name_score('a', 'b')} AS ns FROM sn, tn),
 st AS (SELECT DISTINCT type AS a FROM catalog_src), tt AS (SELECT DISTINCT type AS b FROM catalog_tgt),
 tp AS MATERIALIZED (SELECT a, b, {q.type_score('a', 'b')} AS ts FROM st, tt),
 sc AS MATERIALIZED (SELECT s.table_name AS st, s.column_name AS sc, t.table_name AS tt, t.column_name AS tc, t.ordinal,
-       round(0.7 * CAST(np.ns AS DOUBLE) + 0.3 * CAST(tp.ts AS DOUBLE), 6) AS score
+       floor((CAST(np.ns AS DOUBLE) * 0.7 + CAST(tp.ts AS DOUBLE) * 0.3) * 1e6 + 0.5) / 1e6 AS score
 FROM catalog_src s JOIN np ON np.a = s.column_name JOIN catalog_tgt t ON t.column_name = np.b JOIN tp ON tp.a = s.type AND tp.b = t.type)"""
 
 _TABLES = f""", best AS (SELECT st, sc, tt, max(score) AS m FROM sc GROUP BY 1, 2, 3),
@@ -90,8 +90,8 @@ structure AS (SELECT st, tt, CAST(sum(CAST(m AS DECIMAL(10,6))) AS DOUBLE) / cou
 cs AS (SELECT table_name AS st, count(*) AS n FROM catalog_src GROUP BY 1), ct AS (SELECT table_name AS tt, count(*) AS m FROM catalog_tgt GROUP BY 1),
 tm AS (SELECT st, tt, CAST({q.name_score('st', 'tt')} AS DOUBLE) AS ns, CAST(least(n, m) AS DOUBLE) / greatest(n, m) AS ratio, structure
        FROM structure JOIN cs USING (st) JOIN ct USING (tt)),
-scored AS (SELECT st AS source_table, tt AS target_table, round(ns, 6) AS name_score, round(ratio, 6) AS count_ratio, round(structure, 6) AS structure_score,
-       round(0.4 * ns + 0.2 * ratio + 0.4 * structure, 6) AS score FROM tm)"""
+scored AS (SELECT st AS source_table, tt AS target_table, floor(ns * 1e6 + 0.5) / 1e6 AS name_score, floor(ratio * 1e6 + 0.5) / 1e6 AS count_ratio,
+       floor(structure * 1e6 + 0.5) / 1e6 AS structure_score, floor((ns * 0.4 + ratio * 0.2 + structure * 0.4) * 1e6 + 0.5) / 1e6 AS score FROM tm)"""
 
 
 @query(
