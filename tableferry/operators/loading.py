@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from tableferry.functions.dialects import Rule, broken_rules
 from tableferry.functions.type_rules import spark_type
 from tableferry.operators.numbering import running_total
 
@@ -125,6 +126,18 @@ def batch_progress(log: DataFrame) -> DataFrame:
     )
 
 
+def write_quarantined(df: DataFrame, rules: Iterable[Rule], path: str) -> tuple[DataFrame, DataFrame]:
+    """Check and write a table in one pass, good and rejected rows side by side.
+
+    Returns both halves as read back; each reads only its own files.
+    """
+    reason = F.array_join(broken_rules(df, list(rules)), "; ")
+    marked = df.withColumn("reject_reason", reason).withColumn("is_good", F.col("reject_reason") == "")
+    marked.write.mode("errorifexists").partitionBy("is_good").parquet(path)
+    back = df.sparkSession.read.schema(marked.schema).parquet(path)
+    return back.where("is_good").drop("is_good", "reject_reason"), back.where("NOT is_good").drop("is_good")
+
+
 def reject_unfit(df: DataFrame, targets: Mapping[str, str]) -> tuple[DataFrame, DataFrame]:
     """Insert with per-row errors: rows whose values do not fit the target types
     go to the second DataFrame with the offending columns named.

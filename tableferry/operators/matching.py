@@ -253,7 +253,7 @@ def table_suggestions(src: DataFrame, tgt: DataFrame) -> DataFrame:
             "source_table",
             "target_table",
             "score",
-            F.row_number().over(order).alias("rank"),
+            F.row_number().over(order).cast("bigint").alias("rank"),
             similarity_reason(F.col("score")).alias("reason"),
         )
     )

@@ -21,7 +21,10 @@ def replay(
     files_per_batch: int = 8,
     glob: str | None = None,
 ) -> list[dict]:
-    """Load everything new under ``path`` and return the progress of each batch.
+    """Load everything new under ``path`` and return the progress of its last batches.
+
+    Spark keeps the progress of the most recent batches only; ``batch_counts``
+    gives the rows of every batch ever loaded.
 
     Each micro-batch runs the mapping once and writes it once, under its own
     ``batch_id`` folder that a retry overwrites, so a batch that is run again
@@ -53,3 +56,8 @@ def replay(
 def replayed(spark: SparkSession, target: str) -> DataFrame:
     """What a replay has loaded, with the batch each row came in."""
     return spark.read.parquet(target).withColumn("batch_id", F.col("batch_id").cast("bigint"))
+
+
+def batch_counts(loaded: DataFrame) -> DataFrame:
+    """Rows loaded per batch."""
+    return loaded.groupBy(F.col("batch_id").alias("batch_no")).agg(F.count(F.lit(1)).alias("row_count"))

@@ -300,6 +300,17 @@ def quarantine_rejected(spark, d):
     return split_by_rules(legacy.legacy_orders(spark, d), ORDER_RULES)[1]
 
 
+@query(
+    q.with_(q.LEGACY_ORDERS)
+    + f"""SELECT CASE WHEN coalesce({_BROKEN}, '') = '' THEN 'good' ELSE {_BROKEN} END AS outcome, count(*) AS row_count FROM legacy_orders GROUP BY 1"""
+)
+def quarantine_load(spark, d):
+    """Write good and rejected rows in one pass, then count both by reason."""
+    good, bad = loading.write_quarantined(legacy.legacy_orders(spark, d), ORDER_RULES, fresh_path(spark, "quarantine"))
+    kept = good.agg(F.lit("good").alias("outcome"), F.count(F.lit(1)).alias("row_count"))
+    return kept.unionByName(bad.groupBy(F.col("reject_reason").alias("outcome")).agg(F.count(F.lit(1)).alias("row_count")))
+
+
 @query(
     q.with_(q.LEGACY_CUSTOMER)
     + """SELECT cust_no, CASE WHEN small_code > 32767 THEN 'small_code' ELSE '' END AS unfit_columns FROM legacy_customer WHERE small_code > 32767"""

@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test data not present")
-RUN_WHILE_BUILT = {"migration_run", "dry_run_counts", "sink_roundtrip", "stream_replay"}
+RUN_WHILE_BUILT = {"migration_run", "dry_run_counts", "sink_roundtrip", "stream_replay", "quarantine_load"}
 
 
 def plan(spark, name):

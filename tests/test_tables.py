@@ -4,13 +4,14 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tableferry.functions.dialects import Rule
 from tableferry.operators import ddl, loading, numbering, restructure
 from tableferry.operators import mappings as mp
 from tableferry.plans.migrate import FolderTarget, migrate
 from tableferry.plans.model import ColumnMapping, JoinCondition, MigrationPlan, TableMapping
-from tableferry.session import fresh_path
+from tableferry.session import fresh_path, shared_folder
 from tableferry.sources import catalog, tables
-from tableferry.streaming.replay import replay, replayed
+from tableferry.streaming.replay import batch_counts, replay, replayed
 
 
 def test_rename_order_and_clash(spark):
@@ -245,4 +246,24 @@ def test_replay_is_incremental(spark, tmp_path):
     assert replayed(spark, target).count() == 15
     spark.range(30, 40).coalesce(1).write.mode("append").parquet(folder)
     assert len(replay(spark, folder, schema, lambda df: df.where("id % 2 = 0"), target, mark, files_per_batch=1)) == 1
-    assert sorted(r.id for r in replayed(spark, target).collect()) == list(range(0, 40, 2))
+    loaded = replayed(spark, target)
+    assert sorted(r.id for r in loaded.collect()) == list(range(0, 40, 2))
+    assert {r.batch_no: r.row_count for r in batch_counts(loaded).collect()} == {0: 5, 1: 5, 2: 5, 3: 5}
+
+
+def test_one_pass_quarantine(spark):
+    df = spark.createDataFrame([(1, "a"), (2, ""), (3, None), (4, "b")], "id int, v string")
+    good, bad = loading.write_quarantined(df, [Rule("v", "required", message="missing")], fresh_path(spark, "q"))
+    assert good.columns == ["id", "v"] and sorted(r.id for r in good.collect()) == [1, 4]
+    assert {r.id: r.reject_reason for r in bad.collect()} == {2: "v: missing", 3: "v: missing"}
+
+
+def test_everything_written_goes_to_the_shared_folder(spark):
+    folder = spark.conf.get("spark.checkpoint.dir")
+    assert shared_folder(spark) == folder and fresh_path(spark, "x").startswith(folder)
+    assert fresh_path(spark, "x") != fresh_path(spark, "x")
+
+
+def test_spread_leaves_large_inputs_alone(spark):
+    assert tables.spread(spark.range(100).repartition(64)).rdd.getNumPartitions() == 64
+    assert tables.spread(spark.range(100).coalesce(1)).rdd.getNumPartitions() == 8
