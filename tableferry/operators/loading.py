@@ -83,7 +83,8 @@ def seconds_between(start: Column, end: Column) -> Column:
 def migration_stats(log: DataFrame, total_tables: int | None = None, error_limit: int = 0) -> DataFrame:
     """One row of statistics over a batch log.
 
-    Tables with more than ``error_limit`` errors are listed as problematic.
+    Tables with more than ``error_limit`` errors are listed as problematic;
+    the list is NULL when there are none.
     """
     per_table = log.groupBy("table_name").agg(
         F.sum("row_count").alias("records"),
@@ -101,7 +102,7 @@ def migration_stats(log: DataFrame, total_tables: int | None = None, error_limit
         F.round(duration, 3).alias("duration_seconds"),
         F.round(F.try_divide(F.sum("records"), duration), 4).alias("average_throughput"),
         F.max_by("table_name", F.struct("records", "table_name")).alias("largest_table"),
-        F.array_join(F.array_sort(F.collect_list(bad)), ",").alias("problem_tables"),
+        F.nullif(F.array_join(F.array_sort(F.collect_list(bad)), ","), F.lit("")).alias("problem_tables"),
     )
 
 
