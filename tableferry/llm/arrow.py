@@ -1,4 +1,4 @@
-"""Python functions over Arrow batches, with the package at hand on every executor."""
+"""Python functions over Arrow batches."""
 
 from __future__ import annotations
 
@@ -18,9 +18,12 @@ def extended(schema: StructType, ddl: str) -> StructType:
 
 
 def map_batches(df: DataFrame, fn: Callable, schema: StructType | str) -> DataFrame:
-    """``mapInArrow`` after Spark has sent the package to the executors, which need not have it installed."""
+    """``mapInArrow``; a local session's workers are given the package's folder.
+
+    On a cluster the package is installed, on the Python path, or sent with ``--py-files``.
+    """
     context = df.sparkSession.sparkContext
-    if context.applicationId not in _sent:
+    if context.master.startswith("local[") and context.applicationId not in _sent:
         context.addFile(_PACKAGE, recursive=True)
         _sent.add(context.applicationId)
     return df.mapInArrow(fn, schema)
