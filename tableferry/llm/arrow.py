@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 _PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 _sent: set[str] = set()
+_C = ctypes.CDLL(None)
 
 
 def extended(schema: StructType, ddl: str) -> StructType:
@@ -26,4 +29,12 @@ def map_batches(df: DataFrame, fn: Callable, schema: StructType | str) -> DataFr
     if context.master.startswith("local[") and context.applicationId not in _sent:
         context.addFile(_PACKAGE, recursive=True)
         _sent.add(context.applicationId)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in fn(batches):
+            yield out
+            pa.default_memory_pool().release_unused()
+        if hasattr(_C, "malloc_trim"):  # a reused worker gives back what the task has freed
+            _C.malloc_trim(0)
+
+    return df.mapInArrow(run, schema)

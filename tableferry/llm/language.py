@@ -180,7 +180,7 @@ def identify(docs: DataFrame, parser: Parser, text: str = "text", pred: str = "l
         for batch in batches:
             column = batch.column(text)
             sizes = np.asarray(pc.fill_null(pc.utf8_length(column), 0)).cumsum()
-            cuts = [0, *np.flatnonzero(np.diff(sizes >> 21)) + 1, batch.num_rows]
+            cuts = [0, *np.flatnonzero(np.diff(sizes >> 19)) + 1, batch.num_rows]
             best, share, speed = [], [], []
             for a, b in zip(cuts, cuts[1:]):
                 folded = [fold(t or "") for t in column.slice(a, b - a).to_pylist()]

@@ -21,6 +21,7 @@ from tableferry.session import ensure_checkpoints
 LENGTH = 1024
 GRAIN = 8  # lengths are planned in steps of so many tokens
 ROUNDS = 4000
+KNOWN = 200_000  # pre-tokens remembered by a worker
 GAP = 0.001  # distance from the bound at which the program is good enough
 
 
@@ -54,8 +55,6 @@ class _Encoder:
         return out
 
     def table(self, pieces: tokens.Pieces) -> list[bytes]:
-        if len(self.known) > tokens.KNOWN:
-            self.known.clear()
         keys = pieces.key.tolist()
         out = [self.known.get(k) for k in keys]
         new = [i for i, x in enumerate(out) if x is None]
@@ -63,7 +62,7 @@ class _Encoder:
             texts = pieces.some(new)
             for i, text, ids in zip(new, texts, self.several(texts)):
                 out[i] = ids
-                if len(text) <= 64:
+                if len(text) <= 64 and len(self.known) < KNOWN:
                     self.known[keys[i]] = ids
         return out
 

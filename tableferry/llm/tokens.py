@@ -26,7 +26,7 @@ SHORT, LONG = ("s", "t", "m", "d"), ("re", "ve", "ll")
 
 LETTER, NUMBER, OTHER, SPACE, STOP = range(5)
 END, MARK = "\U0010ffff", "\U0010fffe"  # stand for the end of a text and for the special token
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 KNOWN = 600_000
 BASE = 0x9E3779B97F4A7C15 | 1
 _BREAK = re.compile(rf"[^{WHITE}](?=[{WHITE}])")
