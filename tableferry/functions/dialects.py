@@ -120,7 +120,7 @@ def coerce(dialect: str, c: Column, dtype: T.DataType, spec: ColumnSpec) -> Colu
         if is_text(dtype):
             return leading_integer(c)
         if isinstance(dtype, FRACTIONAL + (T.DecimalType,)):
-            return F.when(c >= 0, F.floor(c)).otherwise(F.ceil(c)).cast("bigint")
+            return c.try_cast("bigint")
         return c.cast("bigint") if is_number(dtype) else F.lit(None).cast("bigint")
     if family == "number":
         if is_text(dtype):

@@ -98,12 +98,12 @@ def legacy_column(
 
 
 def sqlite_column(
-    c: Column, source_type: str, target_type: str, max_length: int = 255, precision: int = 15, scale: int = 2
+    c: Column, source_type: str, target_type: str, max_length: int | None = None, precision: int = 15, scale: int = 2
 ) -> Column:
-    """The rule for a SQLite source column."""
+    """The rule for a SQLite source column; text is cut only to a length that the caller gives."""
     s, t = source_type.upper(), target_type.upper()
     if s == "TEXT" and "VARCHAR" in t:
-        return F.substring(c.cast("string"), 1, max_length)
+        return c.cast("string") if max_length is None else F.substring(c.cast("string"), 1, max_length)
     if s == "INTEGER" and t == "INTEGER":
         return c
     if s == "REAL" and "NUMERIC" in t:

@@ -48,9 +48,11 @@ def drop_space(c: Column) -> Column:
 def round_half_up(c: Column) -> Column:
     """Round to the nearest integer, halves towards plus infinity (-2.5 -> -2).
 
-    Written without a condition so that Spark evaluates ``c`` only once.
+    NULL beyond the range of a bigint.  Written without a condition so that
+    Spark evaluates ``c`` only once.
     """
-    return F.floor(c) + (c - F.floor(c) >= 0.5).cast("bigint")
+    inside = c.try_cast("bigint") * 0
+    return F.try_add(F.try_add(F.floor(c), (c - F.floor(c) >= 0.5).cast("bigint")), inside)
 
 
 def number_from_text(c: Column) -> Column:

@@ -322,7 +322,11 @@ EXACT_TYPES = ["BCD", "CURRENCY", "DECIMAL", "MONEY", "NUMBER", "NUMERIC"]
 
 
 def spark_type(name: str) -> str:
-    """The Spark type that holds a dialect type; unknown names become text."""
+    """The Spark type that holds a dialect type; unknown names become text.
+
+    An exact type without digits gets 28 before the point and 10 after it; one
+    of more digits than Spark's decimals have stays text, so none is lost.
+    """
     upper = name.upper().strip()
     if upper in ("BLOB SUB_TYPE TEXT", "BLOB SUB_TYPE 1", "BLOB TEXT"):
         return "string"
@@ -330,8 +334,8 @@ def spark_type(name: str) -> str:
     base = base.strip()
     if base in EXACT_TYPES:
         digits = [int(d) for d in re.findall(r"\d+", rest)]
-        precision, scale = (digits + [0])[:2] if digits else (18, 4)
-        return f"decimal({min(precision, 38)},{min(scale, 38)})"
+        precision, scale = (digits + [0])[:2] if digits else (38, 10)
+        return f"decimal({precision},{scale})" if scale <= precision <= 38 else "string"
     return SPARK_TYPES.get(base) or ("binary" if base.startswith("BLOB") else "string")
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tableferry.session import ensure_checkpoints
 
+KEYLESS_BLOCKS = 1024
 BLOCK_ROWS = 1 << 16
 BLOCK_FAN = 1 << 12
 
@@ -78,13 +79,16 @@ def _starts(sizes: DataFrame, block: str) -> DataFrame:
 
 
 def number_by_key(df: DataFrame, key: str, out: str, start: int = 1, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Dense numbers in the order of a unique integer key.
+    """Dense numbers in the order of an integer key, rows without a key last.
 
-    The first pass reads only the key column and counts rows per block of keys;
-    the second numbers rows inside each block.  A block never holds more than
-    ``block_rows`` rows because its keys are distinct and not NULL.
+    The first pass counts rows per block of keys; the second numbers rows
+    inside each block.  A block of different keys never holds more than
+    ``block_rows`` rows; a repeated key makes its block longer by its repeats.
+    Rows without a key are dealt over blocks of their own by a hash of the row.
     """
-    marked = df.withColumn("__kb", block_of(F.col(key), block_rows))
+    plain = [c for c, kind in df.dtypes if not kind.startswith(("map", "variant")) and "map<" not in kind]
+    keyless = F.lit(1 << 62) + F.pmod(F.xxhash64(*plain), F.lit(KEYLESS_BLOCKS))
+    marked = df.withColumn("__kb", F.coalesce(block_of(F.col(key), block_rows).cast("bigint"), keyless))
     sizes = marked.groupBy("__kb").agg(F.count(F.lit(1)).alias("__n"))
     starts = _starts(sizes, "__kb")
     order = Window.partitionBy("__kb").orderBy(key)

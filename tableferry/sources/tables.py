@@ -116,16 +116,6 @@ class JdbcSource:
             raise ReadOnlySource(f"{self.url} is a read-only source")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of a table that is read in fewer pieces than that.
-
-    Only small inputs are read in so few pieces; a large table has more splits
-    than cores and is left as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def count_rows(df: DataFrame, where: str | None = None) -> DataFrame:
     """``row_count`` of a table, with an optional predicate."""
     if where:

@@ -481,7 +481,7 @@ def stream_replay(spark, d):
         )
 
     target = fresh_path(spark, "replay")
-    replay(spark, d, legacy.table(spark, d, "events").schema, mapping, target, glob="events.parquet")
+    replay(spark, f"{d}/events.parquet*", legacy.table(spark, d, "events").schema, mapping, target)
     return replayed(spark, target).drop("batch_id")
 
 

@@ -291,7 +291,7 @@ def sqlite_column_rules(spark, d):
 
 @query(
     CUSTOMERS
-    + """SELECT cust_no, segment AS direct_value, CAST(balance_txt AS DECIMAL(18,4)) AS number_value, CAST(small_code AS VARCHAR) AS text_value,
+    + """SELECT cust_no, segment AS direct_value, CAST(balance_txt AS DECIMAL(38,10)) AS number_value, CAST(small_code AS VARCHAR) AS text_value,
          CAST(credit_score AS BIGINT) > -1000 AS cast_value, 'direct,text_to_number,number_to_text,cast' AS rules FROM legacy_customer"""
 )
 def generic_column_rules(spark, d):

@@ -264,6 +264,33 @@ def test_everything_written_goes_to_the_shared_folder(spark):
     assert fresh_path(spark, "x") != fresh_path(spark, "x")
 
 
-def test_spread_leaves_large_inputs_alone(spark):
-    assert tables.spread(spark.range(100).repartition(64)).rdd.getNumPartitions() == 64
-    assert tables.spread(spark.range(100).coalesce(1)).rdd.getNumPartitions() == 8
+def test_batches_keep_rows_without_a_key_and_repeated_keys(spark):
+    df = spark.createDataFrame([(1, "a"), (None, "b"), (None, "b"), (5, "c"), (5, "d"), (None, None)], "k long, t string")
+    got = numbering.number_by_key(df, "k", "n", start=0).collect()
+    assert sorted(r.n for r in got) == list(range(6))
+    assert [r.k for r in sorted(got, key=lambda r: r.n)] == [1, 5, 5, None, None, None]
+
+
+def test_stream_replay_reads_a_table_stored_as_a_folder(spark, tmp_path):
+    from tableferry.suite.registry import QUERIES
+
+    source = "/root/testdata/sf0.001"
+    events = spark.read.parquet(f"{source}/events.parquet")
+    events.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    replay = QUERIES["stream_replay"]
+    assert sorted(map(str, replay(spark, str(tmp_path)).collect())) == sorted(map(str, replay(spark, source).collect()))
+
+
+def test_values_beyond_the_range_of_the_target_are_no_values(spark):
+    from tableferry.functions import convert, dialects, legacy_columns, type_rules
+
+    df = spark.createDataFrame([("10000000000000000000", 1e19), ("-99999999999999999999", -1e19), ("2.5", 2.5)], "t string, d double")
+    got = df.select(convert.text_to_integer(F.col("t")), convert.number_to_number(F.col("d"), "INTEGER")).collect()
+    assert [tuple(r) for r in got] == [(None, None), (None, None), (3, 3)]
+    spec = dialects.ColumnSpec("x", "INTEGER", True)
+    assert [r[0] for r in df.select(dialects.coerce("mysql", F.col("d"), df.schema["d"].dataType, spec)).collect()] == [None, None, 2]
+    long = spark.createDataFrame([("y" * 400,)], "t string")
+    assert len(long.select(legacy_columns.sqlite_column(F.col("t"), "TEXT", "VARCHAR")).first()[0]) == 400
+    kept = spark.sql(f"SELECT CAST('1.234567' AS {type_rules.spark_type('DECIMAL')}) AS a, CAST('123456789012345678' AS {type_rules.spark_type('NUMERIC')}) AS b").first()
+    assert str(kept.a).startswith("1.234567") and int(kept.b) == 123456789012345678
+    assert type_rules.spark_type("DECIMAL(40,2)") == "string"
