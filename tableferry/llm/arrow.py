@@ -12,7 +12,6 @@ from pyspark.sql.types import StructType
 
 _PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 _sent: set[str] = set()
-_C = ctypes.CDLL(None)
 
 
 def extended(schema: StructType, ddl: str) -> StructType:
@@ -20,6 +19,16 @@ def extended(schema: StructType, ddl: str) -> StructType:
     return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
 
 
+def _tidied(fn: Callable, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A worker that is used again gives back what a task has freed."""
+    for out in fn(batches):
+        yield out
+        pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_batches(df: DataFrame, fn: Callable, schema: StructType | str) -> DataFrame:
     """``mapInArrow``; a local session's workers are given the package's folder.
 
@@ -30,11 +39,4 @@ def map_batches(df: DataFrame, fn: Callable, schema: StructType | str) -> DataFr
         context.addFile(_PACKAGE, recursive=True)
         _sent.add(context.applicationId)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in fn(batches):
-            yield out
-            pa.default_memory_pool().release_unused()
-        if hasattr(_C, "malloc_trim"):  # a reused worker gives back what the task has freed
-            _C.malloc_trim(0)
-
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lambda batches: _tidied(fn, batches), schema)
