@@ -272,13 +272,13 @@ def test_batches_keep_rows_without_a_key_and_repeated_keys(spark):
 
 
 def test_stream_replay_reads_a_table_stored_as_a_folder(spark, tmp_path):
-    from tableferry.suite.registry import QUERIES
+    import __spark_entry__ as entry
 
     source = "/root/testdata/sf0.001"
     events = spark.read.parquet(f"{source}/events.parquet")
     events.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
-    replay = QUERIES["stream_replay"]
-    assert sorted(map(str, replay(spark, str(tmp_path)).collect())) == sorted(map(str, replay(spark, source).collect()))
+    query = entry.queries()["stream_replay"]
+    assert sorted(map(str, query(spark, str(tmp_path)).collect())) == sorted(map(str, query(spark, source).collect()))
 
 
 def test_values_beyond_the_range_of_the_target_are_no_values(spark):
