@@ -178,10 +178,10 @@ def _shared(left: pa.Array, right: pa.Array, reach: int) -> np.ndarray:
     return _leading(a, b, np.minimum(m, n))
 
 
-def _neighbours(least: int, gram: int, edges: bool, contexts: bool):
+def _neighbours(least: int, gram: int, edges: bool):
     """Compare sorted suffixes with their neighbours; with ``edges``, also hand on the first and the last row of the task.
 
-    ``contexts`` keeps the words around the matches.
+    A suffix that shares fewer than ``least`` words with both has an empty span at its position.
     """
     reach = least - gram
     names = ["doc_id", "u1", "u2", "pos", "gram", "right_words", "left_words"]
@@ -192,14 +192,11 @@ def _neighbours(least: int, gram: int, edges: bool, contexts: bool):
         carried = None  # extents that the last row of the batch before has from its own predecessor
 
         def out(rows: pa.Table | pa.RecordBatch, left: np.ndarray, right: np.ndarray, edge: int) -> pa.RecordBatch:
-            keep = np.arange(rows.num_rows) if edge >= 0 else np.flatnonzero(left >= 0)
-            n = len(keep)
-            pos = np.asarray(rows.column("pos"))[keep]
-            taken = [rows.column(c).take(pa.array(keep)) for c in ("doc_id", "u1", "u2", "pos", "gram")]
-            around = [rows.column(c).take(pa.array(keep)) if edge >= 0 or contexts else pa.nulls(n, pa.binary()) for c in ("right_words", "left_words")]
-            spans = [pa.array(pos - left[keep], pa.int32()), pa.array(pos + gram + right[keep], pa.int32())]
-            mark = pa.array(np.full(n, 2 * part + edge if edge >= 0 else -1), pa.int64())
-            return pa.RecordBatch.from_arrays([*taken, *around, *spans, mark], names=[*names, "start", "stop", "edge"])
+            pos = np.asarray(rows.column("pos"))
+            linked = left >= 0
+            spans = [pa.array(np.where(linked, x, pos), pa.int32()) for x in (pos - left, pos + gram + right)]
+            mark = pa.array(np.full(len(pos), 2 * part + edge if edge >= 0 else -1), pa.int64())
+            return pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), *spans, mark], names=[*names, "start", "stop", "edge"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -228,8 +225,8 @@ def _neighbours(least: int, gram: int, edges: bool, contexts: bool):
     return run
 
 
-def matches(docs: DataFrame, least: int = LEAST, gram: int = GRAM, key: str = "doc_id", text: str = "text", contexts: bool = False) -> DataFrame:
-    """doc_id, u1, u2, pos, gram, start, stop (and the words around): suffixes that share at least ``least`` words around them with another one.
+def matches(docs: DataFrame, least: int = LEAST, gram: int = GRAM, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, u1, u2, pos, gram, right_words, left_words, start, stop: every suffix with what it shares with its neighbours.
 
     Only positions whose run of ``gram`` words occurs again anywhere become
     suffixes. They are range-partitioned and sorted by what follows, then by
@@ -247,11 +244,11 @@ def matches(docs: DataFrame, least: int = LEAST, gram: int = GRAM, key: str = "d
     order = ["gram", "right_words", "left_words", "doc_id", "u1", "u2", "pos"]
     ordered = suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
     schema = extended(suffixes.schema, "start int, stop int, edge long")
-    found = map_batches(ordered, _neighbours(least, gram, True, contexts), schema).checkpoint()
+    found = map_batches(ordered, _neighbours(least, gram, True), schema).checkpoint()
     # two rows per task, in the order of tasks: the last one of a task stands before the first one of the next
     edges = found.where("edge >= 0").repartition(1).sortWithinPartitions("edge").select(*suffixes.columns)
-    across = map_batches(edges, _neighbours(least, gram, False, contexts), schema)
-    return found.where("edge < 0").unionByName(across).drop("edge", *([] if contexts else ["right_words", "left_words"]))
+    across = map_batches(edges, _neighbours(least, gram, False), schema)
+    return found.where("edge < 0").unionByName(across).drop("edge")
 
 
 _PLACE = ("doc_id", "u1", "u2", "pos")
@@ -261,11 +258,6 @@ def _place():
     return F.struct(F.col("doc_id").isNull().alias("none"), *_PLACE)
 
 
-def _owners(found: DataFrame) -> DataFrame:
-    """For each run of words found again, its place in the smallest doc_id (NULL last), and there the first."""
-    return found.groupBy("gram").agg(F.min(_place()).alias("owner"))
-
-
 def _merged(spans: DataFrame, own: list[str]) -> DataFrame:
     """Overlapping and touching spans of each document as one; a document's own spans bound the group."""
     spans = spans.select(*own, "start", "stop").distinct()
@@ -275,25 +267,61 @@ def _merged(spans: DataFrame, own: list[str]) -> DataFrame:
     return spans.groupBy(*own, "_island").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("_island")
 
 
-def owned_elsewhere(found: DataFrame, least: int, gram: int) -> DataFrame:
-    """u1, u2, start and stop of what each matched place shares with the owner of its run, extended word by word on both sides.
+def _beside_owner(found: DataFrame, least: int, gram: int) -> DataFrame:
+    """Each place and gram with the span to report, ``duplicate``, and ``meets``: whether it shares ``least`` words with its gram's owner.
 
-    Owners come earlier in the order of places, so whatever is removed here stays in some document.
-    ``found`` must hold the words around the matches.
+    The owner is the gram's place in the smallest doc_id (NULL last), and there the first; it
+    keeps the span it shares with its neighbours, and all others have what they share with it.
     """
     reach = least - gram
-    named = found.join(_owners(found), "gram").withColumn("_own", _place() == F.col("owner"))
-    models = named.where("_own").select("gram", F.col("right_words").alias("r0"), F.col("left_words").alias("l0")).dropDuplicates(["gram"])
-    others = named.where("NOT _own").select("gram", "u1", "u2", "pos", "right_words", "left_words").join(models, "gram")
+    owners = found.groupBy("gram").agg(F.min_by(F.struct(_place().alias("owner"), F.col("right_words").alias("r0"), F.col("left_words").alias("l0")), _place()).alias("o"))
+    beside = found.join(owners, "gram").select("gram", *_PLACE, "start", "stop", "right_words", "left_words", (_place() != F.col("o.owner")).alias("duplicate"), "o.r0", "o.l0")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pos = np.asarray(batch.column("pos"))
+            pos, other = np.asarray(batch.column("pos")), batch.column("duplicate").to_numpy(zero_copy_only=False)
             right, left = (_shared(batch.column(a), batch.column(b), reach) for a, b in (("right_words", "r0"), ("left_words", "l0")))
-            ends = [pa.array(x.astype(np.int32)) for x in (pos - left, pos + gram + right)]
-            yield pa.RecordBatch.from_arrays([batch.column("u1"), batch.column("u2"), *ends], names=["u1", "u2", "start", "stop"])
+            start = np.where(other, pos - left, np.asarray(batch.column("start")))
+            stop = np.where(other, pos + gram + right, np.asarray(batch.column("stop")))
+            spans = [pa.array(x, pa.int32()) for x in (start, stop)]
+            names = ["gram", *_PLACE, "duplicate"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *spans, pa.array(stop - start >= least)], names=[*names, "start", "stop", "meets"])
+
+    schema = extended(beside.select("gram", *_PLACE, "duplicate").schema, "start int, stop int, meets boolean")
+    return map_batches(beside, run, schema)
+
 
-    return map_batches(others, run, "u1 long, u2 long, start int, stop int")
+def _by_window(found: DataFrame, least: int, gram: int) -> DataFrame:
+    """The place, ``duplicate`` and span of every run of exactly ``least`` words around a gram that is found again around the same gram."""
+    reach = least - gram
+    left = lambda n: F.substring("left_words", F.lit(1), 4 * n)
+    fits = F.filter(
+        F.sequence(F.lit(0), F.lit(reach)),
+        lambda n: (F.octet_length("left_words") >= 4 * n) & (F.octet_length("right_words") >= 4 * (reach - n)),
+    )
+    spots = found.select("gram", *_PLACE, "right_words", "left_words", F.explode(fits).alias("n"))
+    n = F.col("n")
+    spots = spots.select("gram", *_PLACE, "n", F.xxhash64("n", left(n), F.substring("right_words", F.lit(1), 4 * (reach - n))).alias("window"))
+    again = spots.groupBy("gram", "window").agg(F.count(F.lit(1)).alias("copies"), F.min(_place()).alias("owner")).where("copies > 1")
+    met = spots.join(again, ["gram", "window"]).withColumn("duplicate", _place() != F.col("owner"))
+    # all windows of a place hold its gram, so together they are one span
+    return met.groupBy(*_PLACE, "duplicate").agg((F.col("pos") - F.max("n")).alias("start"), (F.col("pos") - F.min("n") + least).alias("stop"))
+
+
+def passage_spans(docs: DataFrame, least: int, gram: int, key: str, text: str) -> DataFrame:
+    """doc_id, u1, u2, start, stop and duplicate of what every matched place shares, extended word by word on both sides.
+
+    Where all places of a gram share a passage with its first one, that one owns it.
+    Other grams stand in several passages, and the sorted neighbours of a suffix
+    need not be its nearest on both sides; their windows of ``least`` words are compared exactly.
+    Owners come earlier in the order of places, so whatever is removed stays in some document.
+    """
+    found = matches(docs, least, gram, key, text)
+    beside = _beside_owner(found, least, gram).checkpoint()
+    several = beside.where("NOT meets").select("gram").distinct()
+    own = ["doc_id", "u1", "u2", "start", "stop", "duplicate"]
+    exact = _by_window(found.join(several, "gram", "left_semi"), least, gram)
+    return beside.join(several, "gram", "left_anti").select(*own).unionByName(exact.select(*own))
 
 
 def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -305,8 +333,7 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM, key
     a passage it may come in several rows.  Texts of fewer words, empty and NULL
     ones have no passage.  Repeated rows repeat each other.  Other columns are not read.
     """
-    found = matches(docs, least, gram, key, text)
-    spans = found.join(_owners(found), "gram").withColumn("duplicate", _place() != F.col("owner"))
+    spans = passage_spans(docs, least, gram, key, text)
     return _merged(spans, ["doc_id", "u1", "u2", "duplicate"]).select(F.col("doc_id").alias(key), F.col("start").cast("long").alias("start_word"), (F.col("stop") - F.col("start")).cast("long").alias("n_words"), "duplicate")
 
 
@@ -329,7 +356,7 @@ def without_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, key:
 
     All other columns and all other rows are passed through as they are.
     """
-    gone = _merged(owned_elsewhere(matches(docs, least, gram, key, text, contexts=True), least, gram), ["u1", "u2"])
+    gone = _merged(passage_spans(docs, least, gram, key, text).where("duplicate"), ["u1", "u2"])
     spans = gone.groupBy(F.col("u1").alias("_u1"), F.col("u2").alias("_u2")).agg(F.collect_set(F.struct("start", "stop")).alias("_spans"))
     k, t = F.col(f"`{key}`"), F.col(f"`{text}`")
     rows = docs.withColumns({"_a": F.xxhash64(k, t), "_b": F.xxhash64(F.lit(1), t)})

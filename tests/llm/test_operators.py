@@ -394,6 +394,40 @@ def test_repeated_passages(spark, none):
     assert repeats.repeated_passages(none).collect() == [] and repeats.without_repeats(none).collect() == []
 
 
+def test_passages_between_which_third_texts_are_sorted(spark):
+    """Variants with changed words share more of one side than the true partner: none may hide it, and one copy of all stays."""
+    rng = random.Random(23)
+    base = [[f"w{rng.randrange(4000)}" for _ in range(55)] for _ in range(12)]
+    rows = []
+    for i in range(240):
+        words = [f"o{rng.randrange(10**6)}" for _ in range(rng.randrange(25))]
+        for p in rng.sample(range(12), 2):
+            passage = list(base[p])
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                passage[rng.randrange(55)] = f"c{rng.randrange(6)}"
+            words += passage + [f"o{rng.randrange(10**6)}" for _ in range(rng.randrange(25))]
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+
+    def windows(texts):
+        return Counter(tuple(w[i : i + 50]) for w in map(words_of, texts) for i in range(len(w) - 49))
+
+    seen = windows(t for _, t in rows)
+    expected, got = defaultdict(set), defaultdict(set)
+    for d, t in rows:
+        w = words_of(t)
+        for i in range(len(w) - 49):
+            if seen[tuple(w[i : i + 50])] > 1:
+                expected[d] |= set(range(i, i + 50))
+    for r in repeats.repeated_passages(df).collect():
+        got[r.doc_id] |= set(range(r.start_word, r.start_word + r.n_words))
+    assert expected and {d: g & expected[d] for d, g in got.items()} == expected
+    kept = {r.doc_id: words_of(r.text) for r in repeats.without_repeats(df).collect()}
+    assert max(windows(" ".join(w) for w in kept.values()).values()) == 1
+    assert {w for t in kept.values() for w in t} == {w for _, t in rows for w in words_of(t)}
+    assert all(len(kept.get(d, [])) >= len(words_of(t)) - len(expected[d]) for d, t in rows)
+
+
 def test_repeats_of_equal_rows_and_hot_passages(spark):
     rng = random.Random(4)
     hot = " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
