@@ -292,20 +292,27 @@ def _beside_owner(found: DataFrame, least: int, gram: int) -> DataFrame:
 
 
 def _by_window(found: DataFrame, least: int, gram: int) -> DataFrame:
-    """The place, ``duplicate`` and span of every run of exactly ``least`` words around a gram that is found again around the same gram."""
+    """The place, ``duplicate`` and span of every run of exactly ``least`` words around a gram that is found again around the same gram.
+
+    Places with the same words around them count as one, so copies are not spread into windows one by one.
+    """
     reach = least - gram
+    around = F.xxhash64("right_words", "left_words").alias("around")
+    kinds = found.groupBy("gram", "right_words", "left_words").agg(F.count(F.lit(1)).alias("copies"), F.min(_place()).alias("first"))
     left = lambda n: F.substring("left_words", F.lit(1), 4 * n)
     fits = F.filter(
         F.sequence(F.lit(0), F.lit(reach)),
         lambda n: (F.octet_length("left_words") >= 4 * n) & (F.octet_length("right_words") >= 4 * (reach - n)),
     )
-    spots = found.select("gram", *_PLACE, "right_words", "left_words", F.explode(fits).alias("n"))
-    n = F.col("n")
-    spots = spots.select("gram", *_PLACE, "n", F.xxhash64("n", left(n), F.substring("right_words", F.lit(1), 4 * (reach - n))).alias("window"))
-    again = spots.groupBy("gram", "window").agg(F.count(F.lit(1)).alias("copies"), F.min(_place()).alias("owner")).where("copies > 1")
-    met = spots.join(again, ["gram", "window"]).withColumn("duplicate", _place() != F.col("owner"))
+    spots = kinds.select("gram", around, "copies", "first", "right_words", "left_words", F.explode(fits).alias("n"))
+    window = F.xxhash64("n", left(F.col("n")), F.substring("right_words", F.lit(1), 4 * (reach - F.col("n"))))
+    spots = spots.select("gram", "around", "copies", "first", "n", window.alias("window"))
+    again = spots.groupBy("gram", "window").agg(F.sum("copies").alias("all"), F.min("first").alias("owner")).where("all > 1")
+    met = spots.select("gram", "around", "n", "window").join(again, ["gram", "window"])
     # all windows of a place hold its gram, so together they are one span
-    return met.groupBy(*_PLACE, "duplicate").agg((F.col("pos") - F.max("n")).alias("start"), (F.col("pos") - F.min("n") + least).alias("stop"))
+    reaches = met.groupBy("gram", "around", "owner").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    places = found.select("gram", around, *_PLACE).join(reaches, ["gram", "around"])
+    return places.select(*_PLACE, (_place() != F.col("owner")).alias("duplicate"), (F.col("pos") - F.col("high")).alias("start"), (F.col("pos") - F.col("low") + least).alias("stop"))
 
 
 def passage_spans(docs: DataFrame, least: int, gram: int, key: str, text: str) -> DataFrame:
