@@ -291,14 +291,14 @@ def _beside_owner(found: DataFrame, least: int, gram: int) -> DataFrame:
     return map_batches(beside, run, schema)
 
 
-def _by_window(found: DataFrame, least: int, gram: int) -> DataFrame:
-    """The place, ``duplicate`` and span of every run of exactly ``least`` words around a gram that is found again around the same gram.
+def _by_window(found: DataFrame, several: DataFrame, least: int, gram: int) -> DataFrame:
+    """The place, ``duplicate`` and span of every run of exactly ``least`` words around a gram that is found again around the same one of ``several`` grams.
 
     Places with the same words around them count as one, so copies are not spread into windows one by one.
     """
     reach = least - gram
     around = F.xxhash64("right_words", "left_words").alias("around")
-    kinds = found.groupBy("gram", "right_words", "left_words").agg(F.count(F.lit(1)).alias("copies"), F.min(_place()).alias("first"))
+    kinds = found.join(several, "gram", "left_semi").groupBy("gram", "right_words", "left_words").agg(F.count(F.lit(1)).alias("copies"), F.min(_place()).alias("first"))
     left = lambda n: F.substring("left_words", F.lit(1), 4 * n)
     fits = F.filter(
         F.sequence(F.lit(0), F.lit(reach)),
@@ -327,8 +327,8 @@ def passage_spans(docs: DataFrame, least: int, gram: int, key: str, text: str) -
     beside = _beside_owner(found, least, gram).checkpoint()
     several = beside.where("NOT meets").select("gram").distinct()
     own = ["doc_id", "u1", "u2", "start", "stop", "duplicate"]
-    exact = _by_window(found.join(several, "gram", "left_semi"), least, gram)
-    return beside.join(several, "gram", "left_anti").select(*own).unionByName(exact.select(*own))
+    exact = _by_window(found, several, least, gram)
+    return beside.where("meets").select(*own).unionByName(exact.select(*own))
 
 
 def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM, key: str = "doc_id", text: str = "text") -> DataFrame:
