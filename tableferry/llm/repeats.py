@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tableferry.llm.arrow import extended, map_batches
-from tableferry.session import ensure_checkpoints
+from tableferry.session import fresh_path
 
 LEAST = 50  # words of a passage
 GRAM = 20  # words of the suffix that neighbours share at least
@@ -225,6 +225,13 @@ def _neighbours(least: int, gram: int, edges: bool):
     return run
 
 
+def _written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table in the shared folder; sorted rows with equal words beside one another take little room there."""
+    path = fresh_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def matches(docs: DataFrame, least: int = LEAST, gram: int = GRAM, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, u1, u2, pos, gram, right_words, left_words, start, stop: every suffix with what it shares with its neighbours.
 
@@ -235,7 +242,6 @@ def matches(docs: DataFrame, least: int = LEAST, gram: int = GRAM, key: str = "d
     before and the one after it, across the borders of tasks too, and the match
     is extended word by word to the right and to the left.
     """
-    ensure_checkpoints(docs.sparkSession)
     rows = named(docs, key, text)
     positions = sparse_suffixes(rows, least, gram)
     again = positions.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
@@ -244,7 +250,7 @@ def matches(docs: DataFrame, least: int = LEAST, gram: int = GRAM, key: str = "d
     order = ["gram", "right_words", "left_words", "doc_id", "u1", "u2", "pos"]
     ordered = suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
     schema = extended(suffixes.schema, "start int, stop int, edge long")
-    found = map_batches(ordered, _neighbours(least, gram, True), schema).checkpoint()
+    found = _written(map_batches(ordered, _neighbours(least, gram, True), schema), "suffixes")
     # two rows per task, in the order of tasks: the last one of a task stands before the first one of the next
     edges = found.where("edge >= 0").repartition(1).sortWithinPartitions("edge").select(*suffixes.columns)
     across = map_batches(edges, _neighbours(least, gram, False), schema)
@@ -324,7 +330,7 @@ def passage_spans(docs: DataFrame, least: int, gram: int, key: str, text: str) -
     Owners come earlier in the order of places, so whatever is removed stays in some document.
     """
     found = matches(docs, least, gram, key, text)
-    beside = _beside_owner(found, least, gram).checkpoint()
+    beside = _written(_beside_owner(found, least, gram), "spans")
     several = beside.where("NOT meets").select("gram").distinct()
     own = ["doc_id", "u1", "u2", "start", "stop", "duplicate"]
     exact = _by_window(found, several, least, gram)
