@@ -244,7 +244,8 @@ def matches(docs: DataFrame, least: int = LEAST, gram: int = GRAM, key: str = "d
     """
     rows = named(docs, key, text)
     positions = sparse_suffixes(rows, least, gram)
-    again = positions.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    # written, so that the join below meets two plain shuffles and a gram found everywhere can be split
+    again = _written(positions.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "grams")
     wanted = positions.join(again, "gram", "left_semi").groupBy("u1", "u2").agg(F.collect_set("pos").alias("wanted"))
     suffixes = with_contexts(rows.join(wanted, ["u1", "u2"]), least, gram)
     order = ["gram", "right_words", "left_words", "doc_id", "u1", "u2", "pos"]
