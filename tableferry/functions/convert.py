@@ -264,7 +264,7 @@ def conversion_report(df: DataFrame, conversions: Iterable[Conversion], key: str
             verdict["error"].alias("error"),
         )
         checks.append(F.when(verdict["error"].isNotNull(), failed))
-    return wide.select(F.col(key), F.inline(F.array_compact(F.array(*checks))))
+    return wide.select(F.col(key), F.inline(F.array(*checks))).where(F.col("source_column").isNotNull())
 
 
 def conversion_summary(df: DataFrame, conversions: Iterable[Conversion]) -> DataFrame:
@@ -298,7 +298,7 @@ def apply_value_rule(
 ) -> Column:
     """Dialect value rules: flags to 0/1 numbers, timestamp text to timestamps.
 
-    A value the rule does not accept is passed through unchanged.
+    Text that holds no timestamp is NULL; what no rule is about is passed through unchanged.
     """
     pair = (source_type.upper(), target_type.upper())
     dbs = (source_db.lower(), target_db.lower())

@@ -221,7 +221,7 @@ def rule_passes(rule: Rule, dtype: T.DataType) -> Column:
 
 
 def broken_rules(df: DataFrame, rules: Iterable[Rule]) -> Column:
-    """The messages of the rules a row breaks, in rule order, as an array."""
+    """The messages of the rules a row breaks, in rule order, joined by ``; ``."""
     found = [
         F.when(
             ~rule_passes(r, df.schema[r.column].dataType),
@@ -229,11 +229,11 @@ def broken_rules(df: DataFrame, rules: Iterable[Rule]) -> Column:
         )
         for r in rules
     ]
-    return F.filter(F.array(*found), lambda m: m.isNotNull())
+    return F.concat_ws("; ", *found)
 
 
 def split_by_rules(df: DataFrame, rules: Iterable[Rule]) -> tuple[DataFrame, DataFrame]:
     """Good rows, and rejected rows with a ``reject_reason``; nothing is lost."""
-    marked = df.withColumn("reject_reason", F.array_join(broken_rules(df, list(rules)), "; "))
+    marked = df.withColumn("reject_reason", broken_rules(df, list(rules)))
     good = marked.where(F.col("reject_reason") == "").drop("reject_reason")
     return good, marked.where(F.col("reject_reason") != "")

@@ -132,8 +132,7 @@ def write_quarantined(df: DataFrame, rules: Iterable[Rule], path: str) -> tuple[
 
     Returns both halves as read back; each reads only its own files.
     """
-    reason = F.array_join(broken_rules(df, list(rules)), "; ")
-    marked = df.withColumn("reject_reason", reason).withColumn("is_good", F.col("reject_reason") == "")
+    marked = df.withColumn("reject_reason", broken_rules(df, list(rules))).withColumn("is_good", F.col("reject_reason") == "")
     marked.write.mode("errorifexists").partitionBy("is_good").parquet(path)
     back = df.sparkSession.read.schema(marked.schema).parquet(path)
     return back.where("is_good").drop("is_good", "reject_reason"), back.where("NOT is_good").drop("is_good")
@@ -144,8 +143,8 @@ def reject_unfit(df: DataFrame, targets: Mapping[str, str]) -> tuple[DataFrame,
     go to the second DataFrame with the offending columns named.
     """
     casts = {c: F.col(f"`{c}`").try_cast(spark_type(t)) for c, t in targets.items()}
-    unfit = F.array_compact(F.array(*[F.when(F.col(f"`{c}`").isNotNull() & v.isNull(), F.lit(c)) for c, v in casts.items()]))
-    marked = df.withColumn("unfit_columns", F.array_join(unfit, ","))
+    unfit = [F.when(F.col(f"`{c}`").isNotNull() & v.isNull(), F.lit(c)) for c, v in casts.items()]
+    marked = df.withColumn("unfit_columns", F.concat_ws(",", *unfit))
     good = marked.where(F.col("unfit_columns") == "").select([casts.get(c, F.col(f"`{c}`")).alias(c) for c in df.columns])
     return good, marked.where(F.col("unfit_columns") != "")
 

@@ -53,7 +53,7 @@ def keep_computed(df: DataFrame, condition: Column) -> DataFrame:
     columns a second time; here each row is computed once and then kept or not.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    return df.select(F.inline(F.array_compact(F.array(F.when(condition, row)))))
+    return df.select(F.inline(F.when(condition, F.array(row))))
 
 
 def mapped_column(m: ColumnMapping, source: Column) -> Column:
@@ -79,17 +79,21 @@ def join_chain(tables: Mapping[str, DataFrame], mapping: TableMapping) -> DataFr
     """A many-to-one mapping: equi-joins from the first table, then a projection.
 
     Columns are addressed as ``table.column``.  Conditions between the same
-    pair of tables are combined into one join.  No join strategy is forced:
-    Spark broadcasts a side only when its size allows.
+    pair of tables are combined into one join, whichever way round they are
+    written, and must be of one kind.  No join strategy is forced: Spark
+    broadcasts a side only when its size allows.
     """
     if len(mapping.sources) < 2:
         raise ValueError("a many-to-one mapping needs at least two source tables")
     pairs: dict[tuple[str, str], list[JoinCondition]] = {}
     for j in mapping.joins:
-        pairs.setdefault((j.source_table, j.target_table), []).append(j)
+        pair, turned = (j.source_table, j.target_table), (j.target_table, j.source_table)
+        pairs.setdefault(turned if turned in pairs else pair, []).append(j)
     first = mapping.sources[0]
     joined = tables[first].alias(first)
-    for (_, right), conditions in pairs.items():
+    for (left, right), conditions in pairs.items():
+        if len({j.kind.upper() for j in conditions}) > 1:
+            raise ValueError(f"{left} and {right} are joined in different ways")
         on = reduce(
             lambda a, b: a & b,
             [F.col(f"{j.source_table}.{j.source_column}") == F.col(f"{j.target_table}.{j.target_column}") for j in conditions],

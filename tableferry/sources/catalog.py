@@ -15,12 +15,6 @@ from pyspark.sql import types as T
 
 from tableferry.functions.type_rules import catalog_name
 
-CATALOG_SCHEMA = (
-    "table_name string, ordinal int, column_name string, type string, original_type string, "
-    "nullable boolean, default_value string, max_length int, precision int, scale int, "
-    "auto_increment boolean, is_pk boolean"
-)
-
 
 def declared_columns(df: DataFrame, table: str) -> list[tuple]:
     """Catalog facts known from the schema alone; runs no job."""
@@ -84,13 +78,11 @@ def schema_summary(catalog: DataFrame) -> DataFrame:
     per_table = catalog.groupBy("table_name").agg(
         F.count(F.lit(1)).alias("column_count"), F.max("row_count").alias("row_count")
     )
-    return per_table.unionByName(
-        per_table.agg(
-            F.lit("(all tables)").alias("table_name"),
-            F.sum("column_count").alias("column_count"),
-            F.sum("row_count").alias("row_count"),
-        )
+    lines = per_table.rollup("table_name").agg(
+        F.grouping("table_name").alias("all"), F.sum("column_count").alias("column_count"), F.sum("row_count").alias("row_count")
     )
+    name = F.when(F.col("all") == 1, "(all tables)").otherwise(F.col("table_name"))
+    return lines.select(name.alias("table_name"), "column_count", "row_count")
 
 
 def key_candidates(tables: Mapping[str, DataFrame], digest: Mapping[str, tuple[str, ...]] | None = None) -> DataFrame:
