@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -18,15 +19,19 @@ ROWS_PER_LANGUAGE = 400
 CHARS_PER_ROW = 1000
 CHARS_PER_LANGUAGE = 12_000
 BLOCK = 512
-CODES = 0x250  # code points with a symbol of their own; all others share a few
+CODES = sys.maxunicode + 1
 
 
 class Parser(NamedTuple):
-    """``steps[state * width + symbol]`` is twice the next state (times width) plus 1 if a phrase began."""
+    """``steps[state + own[k, symbols[code]]]`` is twice the next state plus 1 if a phrase began.
+
+    A state is where its row begins.  The rows of language ``k`` have one entry for each of its own
+    symbols, and entry 0 for all code points that its sample lacks.
+    """
 
     languages: list[str]
     symbols: np.ndarray
-    width: int
+    own: np.ndarray
     steps: np.ndarray
     starts: np.ndarray
     chars: np.ndarray
@@ -35,8 +40,8 @@ class Parser(NamedTuple):
 def fold(text: str) -> np.ndarray:
     """Lower-cased code points, runs of anything but letters as one blank."""
     codes = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
-    small = np.where(codes < CODES, codes, CODES + (codes >> np.uint32(8)) % np.uint32(64)).astype(np.int64)
-    small[~_letters()[np.minimum(codes, len(_letters()) - 1)]] = 32
+    small = codes.astype(np.int64)
+    small[~_letters()[codes]] = 32
     keep = np.ones(len(small), bool)
     keep[1:] = (small[1:] != 32) | (small[:-1] != 32)
     return small[keep]
@@ -47,7 +52,7 @@ _TABLE: list[np.ndarray] = []
 
 def _letters() -> np.ndarray:
     if not _TABLE:
-        _TABLE.append(np.fromiter((chr(i).isalpha() for i in range(0x30000)), bool, 0x30000))
+        _TABLE.append(np.fromiter((chr(i).isalpha() for i in range(CODES)), bool, CODES))
     return _TABLE[0]
 
 
@@ -87,26 +92,33 @@ def build(samples: dict[str, list[str]], chars: int = CHARS_PER_LANGUAGE) -> Par
     size = max(shared, min(chars, 2000))
     folded = {k: v[:size] for k, v in folded.items()}
     seen = np.unique(np.concatenate([np.array([32]), *folded.values()]))
-    symbols = np.zeros(CODES + 64, np.int64)
+    symbols = np.zeros(CODES, np.int32)
     symbols[seen] = np.arange(1, len(seen) + 1)  # symbol 0: never seen in a sample
-    width = len(seen) + 1
+    own = np.zeros((len(folded), len(seen) + 1), np.int32)
     tables, starts, base = [], [], 0
-    for codes in folded.values():
-        moves = automaton(symbols[codes].tolist())
+    for k, codes in enumerate(folded.values()):
+        used = np.unique(symbols[codes])
+        own[k, used] = np.arange(1, len(used) + 1)
+        width = len(used) + 1
+        moves = automaton(own[k, symbols[codes]].tolist())
         void = len(moves)  # from here every character begins a phrase
-        table = np.full((void + 1, width), -1, np.int64)
+        if base + (void + 1) * width >= 1 << 30:
+            raise ValueError("the samples are too large; lower the number of characters")
+        table = np.full((void + 1, width), -1, np.int32)
         for state, out in enumerate(moves):
             table[state, list(out)] = list(out.values())
         dead = table < 0
-        restart = np.where(table[0] < 0, void, table[0])
+        restart = np.where(table[0] < 0, void, table[0]).astype(np.int32)
         table = np.where(dead, restart[None, :], table)
-        tables.append((((base + table) * width) << 1 | dead).ravel())
-        starts.append((base + void) * width)
-        base += void + 1
-    if base * width >= 1 << 30:
-        raise ValueError("the samples are too large; lower the number of characters")
-    steps = np.concatenate(tables).astype(np.int32) if tables else np.zeros(0, np.int32)
-    return Parser(list(folded), symbols, width, steps, np.array(starts, np.int32), np.array([len(v) for v in folded.values()]))
+        table *= width
+        table += base
+        table <<= 1
+        table |= dead
+        tables.append(table.ravel())
+        starts.append(base + void * width)
+        base += (void + 1) * width
+    steps = np.concatenate(tables) if tables else np.zeros(0, np.int32)
+    return Parser(list(folded), symbols, own, steps, np.array(starts, np.int32), np.array([len(v) for v in folded.values()]))
 
 
 def phrases(parser: Parser, texts: list[np.ndarray]) -> np.ndarray:
@@ -125,7 +137,7 @@ def phrases(parser: Parser, texts: list[np.ndarray]) -> np.ndarray:
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
     begin = np.repeat(np.cumsum(size) - size, blocks) + nth * BLOCK
     length = np.minimum(BLOCK, size[owner] - nth * BLOCK)
-    symbols = parser.symbols[np.concatenate(texts)].astype(np.int32)
+    symbols = parser.own[:, parser.symbols[np.concatenate(texts)]]
     order = np.argsort(-length, kind="stable")
     begin, length, owner = begin[order], length[order], owner[order]
     state = np.repeat(parser.starts[:, None], len(begin), 1)
@@ -134,7 +146,7 @@ def phrases(parser: Parser, texts: list[np.ndarray]) -> np.ndarray:
     for step in range(int(length[0]) if len(length) else 0):
         while length[live - 1] <= step:
             live -= 1
-        took = parser.steps[state[:, :live] + symbols[begin[:live] + step]]
+        took = parser.steps[state[:, :live] + symbols[:, begin[:live] + step]]
         total[:, :live] += took & 1
         state[:, :live] = took >> 1
     for k in range(langs):

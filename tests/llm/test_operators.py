@@ -117,6 +117,20 @@ def test_cross_parsing_equals_brute_force():
             assert got[i, k] == count
 
 
+@pytest.mark.parametrize("first", [0x430, 0x905, 0x980, 0x627, 0x1EA1, 0x4E00, 0x30000])
+def test_languages_of_one_script(first):
+    """Two languages over the same letters, in words of the same lengths."""
+    rng = random.Random(4)
+    letters = [c for c in map(chr, range(first, first + 64)) if c.isalpha() and c == c.lower()][:16]
+    sizes = [rng.randint(2, 8) for _ in range(60)]
+    words = {k: ["".join(rng.choice(letters) for _ in range(n)) for n in sizes] for k in "ab"}
+    make = lambda k, n: " ".join(words[k][rng.randrange(60)] for _ in range(n))
+    parser = language.build({k: [make(k, 400)] for k in "ab"}, 1500)
+    cases = [k for k in "ab" * 20]
+    got = language.phrases(parser, [language.fold(make(k, 15)) for k in cases])
+    assert ["ab"[i] for i in got.argmin(1)] == cases
+
+
 def test_language_on_held_out_documents(spark):
     got = QUERIES["op3_language"](spark, "/root/testdata/sf0.01")
     truth = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
