@@ -86,11 +86,8 @@ def automaton(codes: list[int]) -> list[dict[int, int]]:
 
 
 def build(samples: dict[str, list[str]], chars: int = CHARS_PER_LANGUAGE) -> Parser:
-    """A parser over equally long folded samples of every language; the smallest sample sets the length."""
+    """A parser over the first ``chars`` folded characters of every language's sample; a short one leaves the others whole."""
     folded = {k: np.concatenate([np.append(fold(t), 32) for t in v])[:chars] for k, v in sorted(samples.items())}
-    shared = min(map(len, folded.values()), default=0)
-    size = max(shared, min(chars, 2000))
-    folded = {k: v[:size] for k, v in folded.items()}
     seen = np.unique(np.concatenate([np.array([32]), *folded.values()]))
     symbols = np.zeros(CODES, np.int32)
     symbols[seen] = np.arange(1, len(seen) + 1)  # symbol 0: never seen in a sample
@@ -178,14 +175,15 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str =
 def identify(docs: DataFrame, parser: Parser, text: str = "text", pred: str = "lang_pred", score: str = "score", rate: str = "phrase_rate") -> DataFrame:
     """Add the language whose sample parses the whole text into fewest normalised phrases.
 
-    Phrases are weighed by the logarithm of the sample's length, so a language
-    with a short sample is not at a disadvantage; ties go to the smaller name.
+    A phrase costs the bits of a place in the sample and of one letter out of all
+    learned, so a language with a short sample is not at a disadvantage, and one
+    that hardly has a sample does not win by it; ties go to the smaller name.
     ``score`` is the runner-up's share of the two best counts, 0.5 for a tie
     and nearer 1 the clearer the decision; ``rate`` is phrases per character
     of the winner.  A NULL text, or one without a letter, is ``und`` with score 0 and
     no rate, and so is every text if nothing was learned.  Other columns pass through.
     """
-    weight = np.log2(np.maximum(parser.chars, 2))
+    weight = np.log2(np.maximum(parser.chars, 2)) + np.log2(parser.own.shape[1])
     names = np.array([*parser.languages, UNKNOWN], object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -131,6 +131,19 @@ def test_languages_of_one_script(first):
     assert ["ab"[i] for i in got.argmin(1)] == cases
 
 
+@pytest.mark.parametrize("rare", ["x", "qzx wvk", "zq " * 100])
+def test_rare_label_leaves_other_languages_whole(spark, rare):
+    rng = random.Random(6)
+    words = {k: ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(300)] for k in "ab"}
+    make = lambda k, n: " ".join(words[k][rng.randrange(300)] for _ in range(n))
+    samples = {k: [make(k, 3000)] for k in "ab"}
+    parser = language.build({**samples, "r": [rare]})
+    assert parser.chars.tolist() == [12_000, 12_000, len(language.fold(rare)) + 1]
+    rows = [(i, make("ab"[i % 2], 20), "ab"[i % 2]) for i in range(40)]
+    got = run(lambda d: language.identify(d, parser), spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert all(r["lang_pred"] == r["lang"] for r in got)
+
+
 def test_language_on_held_out_documents(spark):
     got = QUERIES["op3_language"](spark, "/root/testdata/sf0.01")
     truth = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
