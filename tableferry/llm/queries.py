@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableferry.llm import language, mixing, nearest, packing, quality, repeats, sharding, simhash, tokens, warc
+from tableferry.llm import clustering, language, mixing, nearest, packing, quality, repeats, sharding, simhash, tokens, warc
 from tableferry.session import fresh_path
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -143,3 +143,47 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), TOKENIZER, 512)
+
+
+def _clustering_sql(k: int = 40, rounds: int = 5) -> str:
+    """Lloyd's rounds unrolled: every vector against every centroid, nearest by (distance, number)."""
+    parts = [
+        """v AS (
+    SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: abs(floor(256 * x::DOUBLE)) > 16777216)) = 0
+)""",
+        f"""c0 AS (
+    SELECT (row_number() OVER (ORDER BY sha256('2:' || vec_id::VARCHAR), vec_id NULLS LAST, v) - 1)::INT AS cluster, v AS c FROM v QUALIFY cluster < {k}
+)""",
+    ]
+    for r in range(1, rounds + 2):
+        parts.append(
+            f"""a{r} AS (
+    SELECT rid, vec_id, v, cluster, list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i])))::BIGINT AS distance
+    FROM v, c{r - 1} QUALIFY row_number() OVER (PARTITION BY rid ORDER BY distance, cluster) = 1
+)"""
+        )
+        if r <= rounds:
+            parts.append(
+                f"""u{r} AS (SELECT cluster, i, sum(v[i]::HUGEINT) AS s, count(*) AS n FROM a{r}, range(1, 65) t(i) GROUP BY ALL),
+c{r} AS (
+    SELECT cluster, list((CASE WHEN s >= 0 THEN s // n ELSE -((n - 1 - s) // n) END)::BIGINT ORDER BY i) AS c FROM u{r} GROUP BY cluster
+    UNION ALL SELECT cluster, c FROM c{r - 1} WHERE cluster NOT IN (SELECT cluster FROM a{r})
+)"""
+            )
+    last = rounds + 1
+    return (
+        "WITH "
+        + ",\n".join(parts)
+        + f"""
+SELECT a.vec_id, a.cluster, a.distance, (sum(a.distance) OVER (PARTITION BY a.cluster))::BIGINT AS cluster_inertia,
+    (sum(a.distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.c, ',')) AS centroid_sha256
+FROM a{last} a JOIN c{rounds} c ON a.cluster = c.cluster
+"""
+    )
+
+
+@query(sql=_clustering_sql())
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5)
