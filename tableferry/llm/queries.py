@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableferry.llm import clustering, language, mixing, nearest, packing, quality, repeats, sharding, simhash, tokens, warc
+from tableferry.llm import clustering, jaccard, language, mixing, nearest, packing, quality, repeats, sharding, simhash, tokens, warc
 from tableferry.session import fresh_path
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -187,3 +189,36 @@ FROM a{last} a JOIN c{rounds} c ON a.cluster = c.cluster
 @query(sql=_clustering_sql())
 def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5)
+
+
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (
+    SELECT row_number() OVER () AS rid, doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+),
+g AS (
+    SELECT rid, doc_id, CASE WHEN len(words) = 0 THEN []::VARCHAR[]
+        ELSE list_distinct(list_transform(range(1, greatest(len(words) - 1, 2)), lambda i: array_to_string(words[i : i + 2], ' '))) END AS g
+    FROM w
+),
+s AS (SELECT rid, len(g) AS n, unnest(g) AS sh FROM g),
+p AS (
+    SELECT a.rid AS x, b.rid AS y, count(*) AS common, any_value(a.n) AS nx, any_value(b.n) AS ny
+    FROM s a JOIN s b ON a.sh = b.sh AND a.rid < b.rid AND 10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n)
+    GROUP BY a.rid, b.rid
+),
+l AS (SELECT x, y FROM p WHERE 100 * common >= 90 * (nx + ny - common)),
+e AS (SELECT x AS a, y AS b FROM l UNION ALL SELECT y, x FROM l),
+r(a, b) AS (SELECT rid, rid FROM g UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT r.a AS rid, min(g.doc_id) AS component_id FROM r JOIN g ON r.b = g.rid GROUP BY r.a),
+d AS (SELECT a AS rid, count(*) AS n_links FROM e GROUP BY a)
+SELECT g.doc_id, len(g.g)::BIGINT AS n_shingles, CASE WHEN len(g.g) > 0 THEN c.component_id ELSE g.doc_id END AS component_id,
+    coalesce(d.n_links, 0)::BIGINT AS n_links
+FROM g JOIN c ON g.rid = c.rid LEFT JOIN d ON g.rid = d.rid
+"""
+
+
+@query(sql=JACCARD_SQL)
+def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), width=3, threshold=Fraction(9, 10))

@@ -97,3 +97,82 @@ def test_tournament_equals_argmin():
     d = ((x[:, None, :] - cents[None, :, :]) ** 2).sum(axis=2)
     assert (win == d.argmin(axis=1)).all()
     assert (dist == d.min(axis=1)).all()
+
+
+# ---- n-gram Jaccard join ---------------------------------------------------------------------------------------
+
+from tableferry.llm import jaccard  # noqa: E402
+
+
+def shingles(text, width=3):
+    words = WORD.findall((text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    if not words:
+        return frozenset()
+    if len(words) < width:
+        return frozenset([" ".join(words)])
+    return frozenset(" ".join(words[i : i + width]) for i in range(len(words) - width + 1))
+
+
+def brute_jaccard(rows):
+    sets = [shingles(t) for _, t in rows]
+    n = len(rows)
+    parent = list(range(n))
+
+    def find(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    links = [0] * n
+    for i in range(n):
+        for j in range(i + 1, n):
+            a, b = sets[i], sets[j]
+            if a and b and 100 * len(a & b) >= 90 * len(a | b):
+                links[i] += 1
+                links[j] += 1
+                parent[find(i)] = find(j)
+    smallest = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            r = find(i)
+            smallest[r] = d if r not in smallest else min(smallest[r], d)
+    return sorted(((d, len(sets[i]), smallest.get(find(i)) if sets[i] else d, links[i]) for i, (d, _) in enumerate(rows)), key=repr)
+
+
+def jaccard_rows(rng):
+    vocab = [f"w{i}" for i in range(40)] + ["The", "the", "THE", "über"]
+    base = [" ".join(rng.choice(vocab) for _ in range(rng.randint(20, 60))) for _ in range(12)]
+    rows = []
+    for i in range(160):
+        words = base[i % 12].split()
+        for _ in range(rng.choice([0, 0, 1, 2, 5])):
+            words[rng.randrange(len(words))] = rng.choice(vocab)
+        rows.append((i, " ".join(words)))
+    rows += [(300, None), (301, ""), (302, "   \n"), (303, "A b"), (304, "a B"), (305, "one"), (None, base[0]), (None, None), (7, base[1])]
+    rows += [rows[10], rows[10], (900, "x " * 3000), (901, "x " * 2999 + "y")]
+    return rows
+
+
+def test_jaccard_matches_brute_force(spark):
+    rows = jaccard_rows(random.Random(11))
+    df = spark.createDataFrame([(d, t, "clash", 1) for d, t in rows], "doc_id long, text string, rid string, g int").repartition(4)
+    got = sorted((tuple(r) for r in jaccard.jaccard_components(df).collect()), key=repr)
+    assert got == brute_jaccard(rows)
+
+
+def test_jaccard_small_blocks_and_empty(spark, monkeypatch):
+    rows = [(i, "same words in every row here " + ("x" if i % 2 else "y")) for i in range(40)] + [(100 + i, f"a b c d e f g h i j k{i}") for i in range(30)]
+    monkeypatch.setattr(jaccard, "BLOCK", 3)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in jaccard.jaccard_components(df).collect()), key=repr)
+    assert got == brute_jaccard(rows)
+    assert jaccard.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_hamming_bound_is_a_lower_bound():
+    rng = random.Random(2)
+    for _ in range(500):
+        x = sorted(rng.sample(range(60), rng.randint(0, 30)))
+        y = sorted(rng.sample(range(60), rng.randint(0, 30)))
+        assert jaccard._hamming_bound(x, y, 2) <= len(set(x) ^ set(y))
