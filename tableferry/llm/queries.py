@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableferry.llm import clustering, jaccard, language, mixing, nearest, packing, quality, repeats, sharding, simhash, tokens, warc
+from tableferry.llm import clustering, jaccard, language, manifest, mixing, nearest, packing, quality, repeats, sharding, simhash, tokens, warc
 from tableferry.session import fresh_path
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -222,3 +222,11 @@ FROM g JOIN c ON g.rid = c.rid LEFT JOIN d ON g.rid = d.rid
 @query(sql=JACCARD_SQL)
 def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), width=3, threshold=Fraction(9, 10))
+
+
+@query
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    chosen = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(2)) == 0
+    after = F.when(chosen, F.regexp_replace("text", "\n", "")).otherwise(F.col("text"))
+    return manifest.manifest(docs, after).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified", "source")

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 import pytest
 
 from tableferry.llm import clustering
@@ -176,3 +177,106 @@ def test_hamming_bound_is_a_lower_bound():
         x = sorted(rng.sample(range(60), rng.randint(0, 30)))
         y = sorted(rng.sample(range(60), rng.randint(0, 30)))
         assert jaccard._hamming_bound(x, y, 2) <= len(set(x) ^ set(y))
+
+
+# ---- Merkle manifest -------------------------------------------------------------------------------------------
+
+from tableferry.llm import manifest  # noqa: E402
+
+
+def sha(text):
+    return hashlib.sha256(text.encode("utf-8")).hexdigest()
+
+
+def field(v):
+    return "-" if v is None else f"{len(str(v).encode('utf-8'))}:{v}"
+
+
+def leaf(d, s, lang, n, text):
+    return sha("".join(field(v) for v in (d, s, lang, n, text)))
+
+
+def fold_levels(nodes):
+    """Every level of the tree over ``nodes``, bottom first; runs of three while more than one node remains."""
+    levels = [list(nodes)]
+    while len(levels[-1]) > 1:
+        cur = levels[-1]
+        levels.append([sha("".join(cur[i : i + 3])) for i in range(0, len(cur), 3)])
+    return levels
+
+
+def path_of(levels, i):
+    """Siblings per level and the way up."""
+    out = []
+    for lv in levels[:-1]:
+        run = i - i % 3
+        out.append((lv[run : run + 3], i % 3))
+        i //= 3
+    return out
+
+
+def brute_manifest(rows, tamper):
+    groups = {}
+    for r in rows:
+        groups.setdefault(r[1], []).append(r)
+    order = sorted(groups, key=lambda s: (s is not None, (s or "").encode("utf-8")))
+    trees, subroots = {}, []
+    for s in order:
+        members = sorted(groups[s], key=lambda r: (r[0] is not None, r[0] or 0, leaf(*r), leaf(*tamper(r))))
+        levels = fold_levels([leaf(*r) for r in members])
+        trees[s] = (members, levels)
+        subroots.append(levels[-1][0])
+    upper = fold_levels(subroots)
+    root = upper[-1][0]
+    out = []
+    for si, s in enumerate(order):
+        members, levels = trees[s]
+        for i, r in enumerate(members):
+            steps = path_of(levels, i) + path_of(upper, si)
+            proof = sha("".join(h for run, slot in steps for k, h in enumerate(run) if k != slot))
+            val = leaf(*tamper(r))
+            for run, slot in steps:
+                val = sha("".join(run[:slot] + [val] + run[slot + 1 :]))
+            out.append((r[0], leaf(*r), levels[-1][0], root, proof, val, val == root))
+    return sorted(out, key=repr)
+
+
+def test_manifest_matches_brute_force(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(95):
+        src = rng.choice(["a", "b", None, "ü", "B", "a b"]) if i % 9 else "a"
+        rows.append((i if i % 17 else None, src, rng.choice(["en", None]), rng.choice([5, None]), rng.choice([None, "", "x\ny", "plain", "über\n\n"])))
+    rows += [rows[4], rows[4], (3, "a", "en", 5, "other text\n"), (1000, "solo", None, None, "t" * 50000)]
+
+    def tamper(r):
+        cut = r[0] is not None and (zlib.crc32(str(r[0]).encode()) & 0xFFFFFFFF) % 2 == 0
+        return (r[0], r[1], r[2], r[3], r[4].replace("\n", "") if cut and r[4] is not None else r[4])
+
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, source string, lang string, n_chars long, text string, grp string").repartition(3)
+    chosen = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(2)) == 0
+    after = F.when(chosen, F.regexp_replace("text", "\n", "")).otherwise(F.col("text"))
+    got = manifest.manifest(df, after).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified").collect()
+    want = brute_manifest(rows, tamper)
+    assert sorted((tuple(r) for r in got), key=repr) == want
+    assert any(not r[6] for r in want) and any(r[6] for r in want)
+
+
+def test_manifest_single_row_and_empty(spark):
+    one = spark.createDataFrame([(7, None, None, None, None)], "doc_id long, source string, lang string, n_chars long, text string")
+    got = [tuple(r) for r in manifest.manifest(one).select("leaf", "subroot", "root", "proof_sha256", "verified").collect()]
+    lf = leaf(7, None, None, None, None)
+    assert got == [(lf, lf, lf, sha(""), True)]
+    none = spark.createDataFrame([], "doc_id long, source string, lang string, n_chars long, text string")
+    assert manifest.manifest(none).collect() == []
+
+
+def test_midstate_compression_equals_hashlib():
+    rng = random.Random(8)
+    kids = [[sha(str(rng.random())) for _ in range(rng.randint(1, 3))] for _ in range(50)]
+    for run in kids:
+        state = manifest.START[None, :].copy()
+        for h in run:
+            state = manifest.compress(state, manifest.blocks([h]))
+        assert manifest.as_hex(manifest.finish(state, np.array([64 * len(run)])))[0] == sha("".join(run))
+    assert manifest.as_hex(manifest.finish(manifest.START[None, :].copy(), np.array([0])))[0] == sha("")
