@@ -41,13 +41,21 @@ def shingle_sets(text, width: int = 3):
     """Array of the distinct ``width``-word shingles (64-bit hashes) of ``text`` with A-Z lower-cased.
 
     Fewer words give the whole sequence as one shingle; no words, or NULL text, the empty array.
+    The words are found once: the shingles are zipped from shifted slices of
+    them, so no lambda looks at the whole word list again.
     """
     lowered = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = F.regexp_extract_all(F.coalesce(lowered, F.lit("")), F.lit(WORDS), 0)
+    return _shingles(words, width)
+
+
+def _shingles(words, width: int):
     n = F.size(words)
-    starts = F.sequence(F.lit(1), F.greatest(n - width + 1, F.lit(1)))
-    grams = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, width), " ")))
-    return F.when(n == 0, F.array().cast("array<long>")).otherwise(F.array_distinct(grams))
+    runs = F.greatest(n - width + 1, F.lit(0))
+    zipped = F.arrays_zip(*[F.slice(words, k + 1, runs).alias(f"w{k}") for k in range(width)])
+    grams = F.transform(zipped, lambda s: F.xxhash64(F.concat_ws(" ", *[s[f"w{k}"] for k in range(width)])))
+    whole = F.array(F.xxhash64(F.array_join(words, " ")))
+    return F.when(n == 0, F.array().cast("array<long>")).when(n < width, whole).otherwise(F.array_distinct(grams))
 
 
 def _ceil_times(size, t: Fraction):
@@ -118,7 +126,9 @@ def jaccard_components(df: DataFrame, text: str = "text", key: str = "doc_id", w
     ensure_checkpoints(spark)
     t = Fraction(threshold)
     path = fresh_path(spark, "sets")
-    base = df.select(F.col(key).cast("long").alias("doc_id"), shingle_sets(F.col(text), width).alias("g"))
+    lowered = F.translate(F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = df.select(F.col(key).cast("long").alias("doc_id"), F.regexp_extract_all(F.coalesce(lowered, F.lit("")), F.lit(WORDS), 0).alias("w"))
+    base = words.select("doc_id", _shingles(F.col("w"), width).alias("g"))
     base.withColumn("rid", F.monotonically_increasing_id()).withColumn("set", F.sha2(F.array_join(F.array_sort("g"), ","), 256)).write.parquet(path)
     rows = spark.read.parquet(path)
 
