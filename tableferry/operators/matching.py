@@ -2,9 +2,9 @@
 
 Every step works on distinct names rather than on catalog rows, and no step
 forms a cross product of rows.  Equal and contained names are found by
-equi-joins.  Edit-distance search compares distinct names block by block: names
-are hashed into cells of a known size and each cell gives only its best match
-per source name, so candidate pairs are never emitted.
+equi-joins.  Names scored by edit distance are only those that share a piece
+(the whole name, a word or three characters in a row) with each other, found
+by an inverted index of pieces; frequent pieces are spread over several tasks.
 """
 
 from __future__ import annotations
@@ -15,9 +15,7 @@ from pyspark.sql import functions as F
 from tableferry.functions.similarity import (
     AUTO_MAP_THRESHOLD,
     COLUMN_THRESHOLD,
-    CONTAINED,
     COUNT_WEIGHT,
-    GROUP_OF,
     NAME_WEIGHT,
     SAME_GROUP,
     STRUCTURE_WEIGHT,
@@ -26,6 +24,7 @@ from tableferry.functions.similarity import (
     TYPE_WEIGHT,
     compatibility_score,
     plain_name,
+    plain_similarity,
     similarity_reason,
     six_digits,
     type_similarity,
@@ -33,8 +32,7 @@ from tableferry.functions.similarity import (
 )
 from tableferry.session import ensure_checkpoints
 
-CELL_NAMES = 1 << 16
-NAMES_PER_TASK = 256
+SPREAD_ROWS = 4096
 
 
 def settled(catalog: DataFrame) -> DataFrame:
@@ -43,16 +41,60 @@ def settled(catalog: DataFrame) -> DataFrame:
     return catalog.checkpoint()
 
 
-def _cells(rows: int) -> int:
-    return max(1, -(-rows // CELL_NAMES))
+def name_pieces(name: Column) -> Column:
+    """The pieces of a plain name: the name itself, its words (runs of a-z and 0-9) and every run of three characters."""
+    words = F.filter(F.split(name, "[^a-z0-9]+"), lambda w: w != "")
+    size = F.char_length(name)
+    threes = F.transform(F.sequence(F.lit(1), F.greatest(size - 2, F.lit(1))), lambda i: F.substring(name, i, 3))
+    return F.array_distinct(F.concat(F.array(name), words, F.when(size >= 3, threes).otherwise(F.array().cast("array<string>"))))
 
 
-def best_matches(src: DataFrame, tgt: DataFrame, per_table: bool) -> DataFrame:
-    """Best target column for every distinct source ``(name, type)``.
+def _short_pieces(name: Column) -> Column:
+    """Every substring of one or two characters."""
+    size = F.char_length(name)
+    ones = F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: F.substring(name, i, 1))
+    twos = F.transform(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), lambda i: F.substring(name, i, 2))
+    return F.filter(F.array_distinct(F.concat(ones, twos)), lambda p: p != "")
+
+
+def _index(names: DataFrame, col: str, short_kind: str, sub_kind: str) -> DataFrame:
+    """(kind, piece, name): kind ``p`` for shared pieces; a name of one or two characters under ``short_kind``, its
+    one- and two-character substrings under ``sub_kind``."""
+    c = F.col(col)
+    short = F.when(F.char_length(c).between(1, 2), F.array(c)).otherwise(F.array().cast("array<string>"))
+    tagged = F.concat(
+        F.transform(name_pieces(c), lambda p: F.struct(F.lit("p").alias("kind"), p.alias("piece"))),
+        F.transform(short, lambda p: F.struct(F.lit(short_kind).alias("kind"), p.alias("piece"))),
+        F.transform(_short_pieces(c), lambda p: F.struct(F.lit(sub_kind).alias("kind"), p.alias("piece"))),
+    )
+    return names.select(col, F.explode(tagged).alias("k")).select(F.col("k.kind").alias("kind"), F.col("k.piece").alias("piece"), col)
+
+
+def candidate_names(wanted: DataFrame, offered: DataFrame) -> DataFrame:
+    """Distinct (name, t_name) that share a piece, or where a name of one or two characters stands inside the other.
+
+    An inverted index of pieces on both sides, joined by piece.  A piece that
+    very many target names hold is cut into parts by a hash of the name and the
+    source rows of that piece are copied to every part, so no task holds a
+    frequent piece's whole list.
+    """
+    left = _index(wanted.select("name").distinct(), "name", "q", "r")
+    right = _index(offered.select("t_name").distinct(), "t_name", "r", "q")
+    crowd = right.groupBy("kind", "piece").agg(F.ceil(F.count(F.lit(1)) / SPREAD_ROWS).cast("int").alias("parts"))
+    right = right.join(crowd, ["kind", "piece"]).withColumn("part", F.pmod(F.xxhash64("t_name"), F.col("parts")).cast("int"))
+    left = left.join(crowd, ["kind", "piece"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return left.join(right, ["kind", "piece", "part"]).select("name", "t_name").distinct()
 
-    Returns ``name, type, [table_name,] score, tgt_table, tgt_ordinal,
-    tgt_column``: one row per source and target table when ``per_table``, else
-    one row per source.  Ties go to the first target in (table, ordinal) order.
+
+def best_matches(src: DataFrame, tgt: DataFrame, per_table: bool) -> DataFrame:
+    """Best target column for every distinct source ``(name, type)`` among its candidates.
+
+    Candidates are the target columns whose plain name shares a piece with the
+    source name (see :func:`candidate_names`); each is scored by name
+    (built-in ``levenshtein``) and type.  Returns ``name, type, score,
+    tgt_table, tgt_ordinal, tgt_column``: one row per source and target table
+    with a candidate when ``per_table``, else one row per source with a
+    candidate.  Ties go to the first target in (table, ordinal) order.
     """
     wanted = src.select(plain_name(F.col("column_name")).alias("name"), F.upper("type").alias("type")).distinct()
     # Of the target columns with one name and type only the first can win.
@@ -70,33 +112,22 @@ def best_matches(src: DataFrame, tgt: DataFrame, per_table: bool) -> DataFrame:
             F.col("first.column_name").alias("t_column"),
         )
     )
-    parallel = src.sparkSession.sparkContext.defaultParallelism
-    rows_w, rows_o = wanted.count(), offered.count()
-    n_w = max(_cells(rows_w), min(parallel, -(-rows_w // NAMES_PER_TASK)), 1)
-    n_o = _cells(rows_o)
-
-    # Every wanted cell meets every offered cell once.  A name keeps to one cell
-    # unless so many tables offer it that its rows must be spread over several.
-    crowd = offered.groupBy("t_name").agg(F.ceil(F.count(F.lit(1)) / CELL_NAMES).alias("parts"))
-    cell = F.xxhash64("t_name") + F.pmod(F.xxhash64("t_table"), F.col("parts"))
-    w = wanted.withColumn("cw", F.pmod(F.xxhash64("name"), F.lit(n_w))).withColumn(
-        "co", F.explode(F.sequence(F.lit(0), F.lit(n_o - 1)))
-    )
-    o = (
-        offered.join(crowd, "t_name")
-        .withColumn("co", F.pmod(cell, F.lit(n_o)).cast("int"))
-        .withColumn("cw", F.explode(F.sequence(F.lit(0), F.lit(n_w - 1))))
-        .drop("parts")
-    )
-    w = w.select(F.col("cw").cast("int"), "co", "name", "type")
-    found = (
-        w.repartition(n_w * n_o, "cw", "co")
-        .groupBy("cw", "co")
-        .cogroup(o.repartition(n_w * n_o, "cw", "co").groupBy("cw", "co"))
-        .applyInPandas(_scan_cell(per_table), "name string, type string, t_table string, t_ordinal int, t_column string, score double")
+    names = candidate_names(wanted, offered)
+    names = names.withColumn("ns", plain_similarity(F.col("name"), F.col("t_name")))
+    scored = (
+        wanted.join(names, "name")
+        .join(offered, "t_name")
+        .select(
+            "name",
+            "type",
+            "t_table",
+            "t_ordinal",
+            "t_column",
+            six_digits(F.col("ns") * NAME_WEIGHT + type_similarity(F.col("type"), F.col("t_type")) * TYPE_WEIGHT).alias("score"),
+        )
     )
     keys = ["name", "type"] + (["t_table"] if per_table else [])
-    best = found.groupBy(*keys).agg(
+    best = scored.groupBy(*keys).agg(
         F.min(F.struct((-F.col("score")).alias("neg"), F.col("t_table").alias("tbl"), F.col("t_ordinal").alias("ord"), F.col("t_column").alias("col"))).alias("b")
     )
     return best.select(
@@ -109,84 +140,6 @@ def best_matches(src: DataFrame, tgt: DataFrame, per_table: bool) -> DataFrame:
     )
 
 
-def _scan_cell(per_table: bool):
-    """The per-cell search, self-contained so that workers need no package."""
-    group_of, contained, same_group = dict(GROUP_OF), CONTAINED, SAME_GROUP
-    w_name, w_type = NAME_WEIGHT, TYPE_WEIGHT
-
-    def scan(left, right):
-        import numpy as np
-        import pandas as pd
-
-        columns = ["name", "type", "t_table", "t_ordinal", "t_column", "score"]
-        if left.empty or right.empty:
-            return pd.DataFrame({c: [] for c in columns}).astype({"t_ordinal": "int32", "score": "float64"})
-        right = right.sort_values(["t_table", "t_ordinal"], kind="stable").reset_index(drop=True)
-        names, name_at = np.unique(right["t_name"].to_numpy(dtype=object).astype(str), return_inverse=True)
-        types, type_at = np.unique(right["t_type"].to_numpy(dtype=object).astype(str), return_inverse=True)
-        sizes = np.array([len(n) for n in names], dtype=np.int32)
-        width = max(int(sizes.max()), 1)
-        codes = np.zeros((width, len(names)), dtype=np.uint32)
-        for k, n in enumerate(names):
-            codes[: len(n), k] = [ord(ch) for ch in n]
-        small = np.int8 if width < 100 else np.int32
-        everyone = np.arange(len(names))
-        first = np.repeat(np.arange(width + 1, dtype=small)[:, None], len(names), axis=1)
-        spare = np.empty(len(names), dtype=small)
-
-        def distances(word):
-            row, nxt = first.copy(), np.empty_like(first)
-            if len(word) >= 100:
-                row, nxt = row.astype(np.int32), nxt.astype(np.int32)
-            left = spare.astype(row.dtype)
-            for i, ch in enumerate(word, 1):
-                np.add(row[:-1], codes != ord(ch), out=nxt[1:])
-                row += 1
-                np.minimum(nxt[1:], row[1:], out=nxt[1:])
-                nxt[0] = i
-                for j in range(1, width + 1):
-                    np.add(nxt[j - 1], 1, out=left)
-                    np.minimum(nxt[j], left, out=nxt[j])
-                row, nxt = nxt, row
-            return row[sizes, everyone].astype(np.int64)
-
-        def likeness(word):
-            longest = np.maximum(sizes, len(word))
-            if not word:
-                return np.where(sizes == 0, 1.0, 0.0)
-            d = distances(word)
-            s = (longest - d) / longest
-            # One name contains the other only where the distance is the length difference.
-            for k in np.flatnonzero((d == np.abs(sizes - len(word))) & (d > 0)):
-                if names[k] and (names[k] in word or word in names[k]):
-                    s[k] = contained
-            return s
-
-        tables = right["t_table"].to_numpy(dtype=object)
-        edges = np.flatnonzero(np.r_[True, tables[1:] != tables[:-1]])
-        ordinals, shown = right["t_ordinal"].to_numpy(), right["t_column"].to_numpy(dtype=object)
-        out = []
-        for word, group in left.groupby("name", sort=False):
-            s = likeness(word)[name_at]
-            for kind in group["type"]:
-                close = np.array(
-                    [1.0 if t == kind else (same_group if kind in group_of and group_of[kind] == group_of.get(t) else 0.0) for t in types]
-                )
-                score = np.floor((s * w_name + close[type_at] * w_type) * 1e6 + 0.5) / 1e6
-                if per_table:
-                    tops = np.maximum.reduceat(score, edges)
-                    bounds = np.r_[edges[1:], len(score)]
-                    for a, b, top in zip(edges, bounds, tops):
-                        k = a + int(np.argmax(score[a:b]))
-                        out.append((word, kind, tables[k], ordinals[k], shown[k], top))
-                else:
-                    k = int(np.argmax(score))
-                    out.append((word, kind, tables[k], ordinals[k], shown[k], score[k]))
-        return pd.DataFrame(out, columns=columns)
-
-    return scan
-
-
 def column_match(src: DataFrame, tgt: DataFrame) -> DataFrame:
     """Best target column of every source column, where the score exceeds 0.5.
 

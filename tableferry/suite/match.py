@@ -76,9 +76,25 @@ def compat_score(spark, d):
     return pair.select("s.table_name", "s.ordinal", F.round(score, 2).alias("score"), sim.types_compatible(st, tt).alias("compatible"))
 
 
-# Scores of all distinct name and type pairs; the Spark side never forms these pairs.
+
+def _pieces(x: str) -> str:
+    """The name, its words and every run of three characters."""
+    return (
+        f"list_distinct(list_concat([{x}], list_filter(regexp_split_to_array({x}, '[^a-z0-9]+'), lambda w: w <> ''), "
+        f"CASE WHEN length({x}) >= 3 THEN list_transform(range(1, length({x}) - 1), lambda i: substr({x}, i, 3)) ELSE [] END))"
+    )
+
+
+# Candidates: names that share a piece, or a name of one or two characters inside the other.
+_X, _Y = "trim(lower(a))", "trim(lower(b))"
+_CANDIDATE = (
+    f"(len(list_intersect({_pieces(_X)}, {_pieces(_Y)})) > 0 OR (length({_X}) BETWEEN 1 AND 2 AND contains({_Y}, {_X}))"
+    f" OR (length({_Y}) BETWEEN 1 AND 2 AND contains({_X}, {_Y})))"
+)
+
+# Scores of the distinct name pairs that are candidates, with all type pairs; the Spark side never forms all pairs.
 _PAIRS = f""", sn AS (SELECT DISTINCT column_name AS a FROM catalog_src), tn AS (SELECT DISTINCT column_name AS b FROM catalog_tgt),
-np AS MATERIALIZED (SELECT a, b, {q.name_score('a', 'b')} AS ns FROM sn, tn),
+np AS MATERIALIZED (SELECT a, b, {q.name_score('a', 'b')} AS ns FROM sn, tn WHERE {_CANDIDATE}),
 st AS (SELECT DISTINCT type AS a FROM catalog_src), tt AS (SELECT DISTINCT type AS b FROM catalog_tgt),
 tp AS MATERIALIZED (SELECT a, b, {q.type_score('a', 'b')} AS ts FROM st, tt),
 sc AS MATERIALIZED (SELECT s.table_name AS st, s.column_name AS sc, t.table_name AS tt, t.column_name AS tc, t.ordinal,

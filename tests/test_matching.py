@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -29,6 +30,18 @@ def name_score(a, b):
     return (n - edit_distance(a, b)) / n
 
 
+def pieces(name):
+    x = name.lower().strip()
+    words = [w for w in re.split("[^a-z0-9]+", x) if w]
+    return {x, *words, *(x[i : i + 3] for i in range(len(x) - 2))}
+
+
+def candidate(a, b):
+    """Names that share a piece, or where a name of one or two characters stands inside the other."""
+    x, y = a.lower().strip(), b.lower().strip()
+    return bool(pieces(a) & pieces(b)) or (1 <= len(x) <= 2 and x in y) or (1 <= len(y) <= 2 and y in x)
+
+
 def score(s, t):
     return round(0.7 * name_score(s[2], t[2]) + 0.3 * sim.types_alike(s[3], t[3]), 6)
 
@@ -55,31 +68,50 @@ def catalogs(spark):
     return s, t, spark.createDataFrame(s, SCHEMA), spark.createDataFrame(t, SCHEMA)
 
 
-@pytest.mark.parametrize("cell", [4096, 7])
-def test_column_match_is_the_brute_force_answer(catalogs, monkeypatch, cell):
-    """Small cells force the search over many cells and spread the hot name."""
-    monkeypatch.setattr(mt, "CELL_NAMES", cell)
+@pytest.mark.parametrize("spread", [4096, 2])
+def test_column_match_is_the_brute_force_answer(catalogs, monkeypatch, spread):
+    """Small parts spread every frequent piece over many tasks."""
+    monkeypatch.setattr(mt, "SPREAD_ROWS", spread)
     s, t, sdf, tdf = catalogs
     want = []
     for a in s:
-        best = min(((-score(a, b), b[0], b[1], b[2]) for b in t))
-        if -best[0] > 0.5:
+        found = [(-score(a, b), b[0], b[1], b[2]) for b in t if candidate(a[2], b[2])]
+        best = min(found) if found else None
+        if best and -best[0] > 0.5:
             want.append((a[0], a[2], best[1], best[3], -best[0]))
     assert sorted(tuple(r) for r in mt.column_match(sdf, tdf).collect()) == sorted(want)
 
 
-@pytest.mark.parametrize("cell", [4096, 7])
-def test_table_match_is_the_brute_force_answer(catalogs, monkeypatch, cell):
-    monkeypatch.setattr(mt, "CELL_NAMES", cell)
+@pytest.mark.parametrize("spread", [4096, 2])
+def test_table_match_is_the_brute_force_answer(catalogs, monkeypatch, spread):
+    monkeypatch.setattr(mt, "SPREAD_ROWS", spread)
     s, t, sdf, tdf = catalogs
     got = {(r.source_table, r.target_table): r for r in mt.table_match(sdf, tdf).collect()}
+    want = set()
     for a in {r[0] for r in s}:
         for b in {r[0] for r in t}:
             mine, theirs = [r for r in s if r[0] == a], [r for r in t if r[0] == b]
-            structure = sum(max(score(x, y) for y in theirs) for x in mine) / len(mine)
-            want = 0.4 * name_score(a, b) + 0.2 * min(len(mine), len(theirs)) / max(len(mine), len(theirs)) + 0.4 * structure
-            assert got[(a, b)].score == pytest.approx(want, abs=2e-6)
+            best = [max(score(x, y) for y in theirs if candidate(x[2], y[2])) for x in mine if any(candidate(x[2], y[2]) for y in theirs)]
+            if not best:
+                continue
+            want.add((a, b))
+            structure = sum(best) / len(best)
+            total = 0.4 * name_score(a, b) + 0.2 * min(len(mine), len(theirs)) / max(len(mine), len(theirs)) + 0.4 * structure
+            assert got[(a, b)].score == pytest.approx(total, abs=2e-6)
             assert got[(a, b)].structure_score == pytest.approx(structure, abs=2e-6)
+    assert set(got) == want
+
+
+def test_candidates_by_pieces(spark):
+    src = spark.createDataFrame([("s", 1, n, "TEXT", None, False) for n in ["id", "order_date", "Customer Name", "q", "", "zzz"]], SCHEMA)
+    tgt = spark.createDataFrame([("t", 1, n, "TEXT", None, False) for n in ["ID", "date_of_order", "custname", "aqb", "xyz", "o"]], SCHEMA)
+    wanted = src.select(sim.plain_name(F.col("column_name")).alias("name")).distinct()
+    offered = tgt.select(sim.plain_name(F.col("column_name")).alias("t_name")).distinct()
+    got = {tuple(r) for r in mt.candidate_names(wanted, offered).collect()}
+    names_s = ["id", "order_date", "customer name", "q", "", "zzz"]
+    names_t = ["id", "date_of_order", "custname", "aqb", "xyz", "o"]
+    assert got == {(a, b) for a in names_s for b in names_t if candidate(a, b)}
+    assert ("q", "aqb") in got and ("order_date", "o") in got and ("zzz", "xyz") not in got
 
 
 def test_containment_map_is_the_brute_force_answer(catalogs):
