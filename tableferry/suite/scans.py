@@ -518,3 +518,47 @@ def combined_columns(spark, d):
 
     sides = [legacy.catalog_src(spark, d), legacy.catalog_tgt(spark, d)]
     return combine(reduce(DataFrame.unionByName, sides))
+
+
+REJECT_PLAN = MigrationPlan.from_dict(
+    {
+        "tables": ["orders", "customer"],
+        "parallelTables": 2,
+        "mapping": {"tables": {"orders": "sales_orders"}, "columns": {"orders": {"o_orderkey": "order_id"}}, "types": {"bigint": "SMALLINT"}},
+    }
+)
+
+_UNFIT = "CASE WHEN {c} IS NOT NULL AND TRY_CAST({c} AS SMALLINT) IS NULL THEN '{c}' END"
+_REJECTS = """SELECT '{t}' AS target_table, nullif(concat_ws(',', {cols}), '') AS reject_columns FROM {src}"""
+
+
+@query(
+    "WITH m AS ("
+    + _REJECTS.format(t="sales_orders", cols=", ".join(_UNFIT.format(c=c) for c in ("o_orderkey", "o_custkey")), src="orders")
+    + " UNION ALL "
+    + _REJECTS.format(t="customer", cols=_UNFIT.format(c="c_custkey"), src="customer")
+    + """), g AS (SELECT target_table, CASE WHEN reject_columns IS NULL THEN 'good' ELSE 'rejected' END AS row_outcome, reject_columns, count(*) AS row_count FROM m GROUP BY ALL)
+    SELECT target_table, row_outcome, reject_columns, row_count, sum(row_count) OVER (PARTITION BY target_table, row_outcome) AS logged_rows FROM g"""
+)
+def migration_rejects(spark, d):
+    """A run whose new types do not hold every value: good and rejected rows are written in one pass, per table and run.
+
+    Returns, per target table, outcome and set of failing columns, the rows
+    written, and the count the run log took from the same pass (for all sets of
+    that outcome).  Run twice under one name, so that the second run replaces the first.
+    """
+    target = FolderTarget(fresh_path(spark, "migration"))
+    migrate(spark, source(d), target, REJECT_PLAN, run="nightly")
+    log = migrate(spark, source(d), target, REJECT_PLAN, run="nightly")
+    counted = log.select(
+        "target_table",
+        F.explode(F.array(F.struct(F.lit("good").alias("o"), F.col("row_count").alias("n")), F.struct(F.lit("rejected").alias("o"), F.col("rejected_count").alias("n")))).alias("c"),
+    ).select("target_table", F.col("c.o").alias("row_outcome"), F.col("c.n").alias("logged_rows"))
+    written = reduce(
+        DataFrame.unionByName,
+        [
+            target._all(spark, REJECT_PLAN.target_name(t)).groupBy(F.lit(REJECT_PLAN.target_name(t)).alias("target_table"), "row_outcome", "reject_columns").agg(F.count(F.lit(1)).alias("row_count"))
+            for t in ("orders", "customer")
+        ],
+    )
+    return written.join(counted, ["target_table", "row_outcome"])

@@ -294,3 +294,21 @@ def test_values_beyond_the_range_of_the_target_are_no_values(spark):
     kept = spark.sql(f"SELECT CAST('1.234567' AS {type_rules.spark_type('DECIMAL')}) AS a, CAST('123456789012345678' AS {type_rules.spark_type('NUMERIC')}) AS b").first()
     assert str(kept.a).startswith("1.234567") and int(kept.b) == 123456789012345678
     assert type_rules.spark_type("DECIMAL(40,2)") == "string"
+
+
+def test_migrate_keeps_rejects_and_replaces_a_rerun(spark, tmp_path):
+    spark.createDataFrame([(1, 40000, "a"), (2, None, "b"), (70000, 5, "c"), (3, 4, "d")], "id bigint, qty bigint, name string").write.parquet(
+        f"{tmp_path}/stock.parquet"
+    )
+    src = tables.TableSource(str(tmp_path), ("stock",))
+    plan = MigrationPlan.from_dict({"tables": ["stock"], "mapping": {"columns": {"stock": {"id": "stock_id"}}, "types": {"bigint": "SMALLINT"}}})
+    target = FolderTarget(fresh_path(spark, "t"))
+    for _ in range(2):
+        log = migrate(spark, src, target, plan, run="r1").collect()
+    assert [(r.row_count, r.rejected_count) for r in log] == [(2, 2)]
+    good = target.read(spark, "stock")
+    assert good.columns == ["stock_id", "qty", "name"] and sorted(tuple(r) for r in good.collect()) == [(2, None, "b"), (3, 4, "d")]
+    bad = sorted((r.name, r.reject_columns, r.source_values, r.migration_run) for r in target.rejects(spark, "stock").collect())
+    assert bad == [("a", "qty", '{"id":1,"qty":40000}', "r1"), ("c", "id", '{"id":70000,"qty":5}', "r1")]
+    migrate(spark, src, target, plan, run="r2")
+    assert target.read(spark, "stock").count() == 4
