@@ -144,9 +144,103 @@ def lookup_table(df: DataFrame, key: str, lookup: DataFrame, lookup_key: str, va
 
 
 def compile_mapping(tables: Mapping[str, DataFrame], mapping: TableMapping) -> DataFrame:
-    """The DataFrame a mapping describes, by its kind."""
+    """The DataFrame a mapping describes, by its kind.
+
+    A one-to-many mapping is one of several targets of one source; alone it is
+    its own projection.  :func:`load_mappings` loads such a group from one scan.
+    """
+    if not mapping.enabled:
+        raise ValueError(f"mapping {mapping.id} is disabled")
     if mapping.group_by:
         return aggregate_mapping(tables[mapping.sources[0]], mapping)
     if mapping.kind == "many-to-one":
         return join_chain(tables, mapping)
     return insert_select(tables[mapping.sources[0]], mapping)
+
+
+def fan_out(
+    df: DataFrame, parts: Mapping[str, Sequence[tuple[str, Column]]], filters: Mapping[str, Column] | None = None, tag: str = "target_table"
+) -> DataFrame:
+    """Rows of every target of one source as one DataFrame, from a single scan of ``df``.
+
+    ``parts`` gives each target's (name, expression) columns, ``filters`` the
+    condition a source row must meet to reach a target.  Each source row
+    becomes an array of one struct per target it reaches, exploded: columns of
+    all targets lie side by side under a common schema (missing ones NULL),
+    tagged by target.
+    """
+    filters = dict(filters or {})
+    names: list[str] = []
+    types: dict[str, Any] = {}
+    for cols in parts.values():
+        for f in df.select(*[c.alias(n) for n, c in cols]).schema.fields:
+            if f.name not in types:
+                names.append(f.name)
+                types[f.name] = f.dataType
+    entries = []
+    for target, cols in parts.items():
+        given = dict(cols)
+        fields = [(given[n] if n in given else F.lit(None)).cast(types[n]).alias(n) for n in names]
+        entries.append(F.struct(F.lit(target).alias(tag), filters.get(target, F.lit(True)).alias("__keep"), *fields))
+    reached = F.filter(F.array(*entries), lambda e: F.coalesce(e["__keep"], F.lit(False)))
+    return df.select(F.explode(reached).alias("__e")).select(F.col(f"__e.{tag}").alias(tag), *[F.col("__e").getField(n).alias(n) for n in names])
+
+
+def split_load(
+    df: DataFrame,
+    parts: Mapping[str, Sequence[tuple[str, Column]]],
+    path: str,
+    lookups: Mapping[str, Sequence[str]] | None = None,
+    filters: Mapping[str, Column] | None = None,
+) -> dict[str, DataFrame]:
+    """Load several targets of one source: one scan, one write partitioned by target, lookup targets reduced by key.
+
+    Every target's rows (see :func:`fan_out`) are written in one job under
+    ``{path}/rows/target_table=...``; a lookup target (``lookups``: target ->
+    key columns) is then reduced to one row per key, the smallest of each
+    other column, from its own written folder, and written to
+    ``{path}/lookups/<target>``; nothing reads the source again.  Returns each
+    target as read back, in its own columns.
+    """
+    lookups = dict(lookups or {})
+    if len(parts) < 2:
+        raise ValueError("a one-to-many load needs at least two targets")
+    spark = df.sparkSession
+    tagged = fan_out(df, parts, filters)
+    tagged.write.mode("overwrite").partitionBy("target_table").parquet(f"{path}/rows")
+    out = {}
+    for target, cols in parts.items():
+        names = [n for n, _ in cols]
+        rows = spark.read.schema(tagged.schema).parquet(f"{path}/rows").where(F.col("target_table") == target).select(*names)
+        if target in lookups:
+            keys = list(lookups[target])
+            rest = [c for c in names if c not in keys]
+            reduced = rows.groupBy(*keys).agg(*[F.min(c).alias(c) for c in rest]) if rest else rows.select(*keys).distinct()
+            reduced.select(*names).write.mode("overwrite").parquet(f"{path}/lookups/{target}")
+            rows = spark.read.parquet(f"{path}/lookups/{target}")
+        out[target] = rows
+    return out
+
+
+def load_mappings(tables: Mapping[str, DataFrame], mappings: Iterable[TableMapping], path: str) -> dict[str, DataFrame]:
+    """Every enabled mapping, by target; one-to-many mappings of one source are loaded together by :func:`split_load`.
+
+    A one-to-many mapping marked ``distinct`` is a lookup reduced by its first column.
+    """
+    live = [m for m in mappings if m.enabled]
+    groups: dict[str, list[TableMapping]] = {}
+    for m in live:
+        if m.kind == "one-to-many" and not m.group_by:
+            groups.setdefault(m.sources[0], []).append(m)
+    out = {}
+    for m in live:
+        if m.kind != "one-to-many" or m.group_by or len(groups[m.sources[0]]) < 2:
+            out[m.target] = compile_mapping(tables, m)
+    for source, ms in groups.items():
+        if len(ms) < 2:
+            continue
+        parts = {m.target: [(c.target, mapped_column(c, F.col(f"`{c.source}`"))) for c in m.columns] for m in ms}
+        filters = {m.target: reduce(lambda a, b: a & b, [F.expr(t) for t in m.filters]) for m in ms if m.filters}
+        lookups = {m.target: [m.columns[0].target] for m in ms if m.distinct}
+        out.update(split_load(tables[source], parts, f"{path.rstrip('/')}/{source}", lookups, filters))
+    return out

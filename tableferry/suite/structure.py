@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -328,3 +331,49 @@ def calculate_column(spark, d):
         lc.calculated("CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(1 - l_discount AS DECIMAL(4,2))", 15, 2).alias("net"),
         lc.calculated("CAST(l_quantity AS INT) % 7").alias("lot"),
     )
+
+
+def _one_to_many(target, columns, **extra):
+    return TableMapping.from_dict(
+        {
+            "id": f"orders_to_{target}",
+            "sourceTable": "orders",
+            "targetTable": target,
+            "mappingType": "one-to-many",
+            "columnMappings": [{"sourceColumn": s, "targetColumn": t, "transformation": {"type": "direct"}} for s, t in columns],
+            **extra,
+        }
+    )
+
+
+FAN_OUT = [
+    _one_to_many("order_headers", [("o_orderkey", "order_id"), ("o_custkey", "customer_id"), ("o_totalprice", "total")]),
+    _one_to_many("open_orders", [("o_orderkey", "order_id"), ("o_orderstatus", "status")], filterConditions=["o_orderstatus <> 'F'"]),
+    _one_to_many("archived", [("o_orderkey", "order_id")], enabled=False),
+]
+PRIORITIES = TableMapping(**{**_one_to_many("priorities", [("o_orderpriority", "priority"), ("o_orderdate", "first_date")]).__dict__, "distinct": True})
+
+
+@query(
+    """SELECT 'order_headers' AS target_table, count(*) AS row_count, sum(o_orderkey) AS key_sum, count(DISTINCT o_orderkey) AS keys FROM orders
+       UNION ALL SELECT 'open_orders', count(*), sum(o_orderkey), count(DISTINCT o_orderkey) FROM orders WHERE o_orderstatus <> 'F'
+       UNION ALL SELECT 'priorities', count(*), NULL, count(DISTINCT priority) FROM (SELECT o_orderpriority AS priority, min(o_orderdate) FROM orders GROUP BY 1)"""
+)
+def split_load(spark, d):
+    """One scan of ``orders`` feeds three targets in one partitioned write; the lookup of priorities is reduced by key; a disabled mapping loads nothing."""
+    from tableferry.session import fresh_path
+
+    loaded = rs.load_mappings(_tables(spark, d, "orders"), [*FAN_OUT, PRIORITIES], fresh_path(spark, "split"))
+    key = {"order_headers": "order_id", "open_orders": "order_id", "priorities": "priority"}
+    return reduce(
+        DataFrame.unionByName,
+        [
+            df.agg(
+                F.lit(t).alias("target_table"),
+                F.count(F.lit(1)).alias("row_count"),
+                (F.sum(key[t]) if key[t] == "order_id" else F.lit(None).cast("decimal(38,0)")).cast("decimal(38,0)").alias("key_sum"),
+                F.count_distinct(key[t]).alias("keys"),
+            )
+            for t, df in sorted(loaded.items())
+        ],
+    )

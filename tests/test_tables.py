@@ -312,3 +312,29 @@ def test_migrate_keeps_rejects_and_replaces_a_rerun(spark, tmp_path):
     assert bad == [("a", "qty", '{"id":1,"qty":40000}', "r1"), ("c", "id", '{"id":70000,"qty":5}', "r1")]
     migrate(spark, src, target, plan, run="r2")
     assert target.read(spark, "stock").count() == 4
+
+
+def test_one_scan_feeds_every_target(spark, tmp_path):
+    from tableferry.operators import restructure as rs
+    from tableferry.plans.model import TableMapping
+
+    spark.createDataFrame([(1, "F", "hi"), (2, "O", "lo"), (3, "O", "hi"), (4, None, "hi")], "k long, st string, pr string").write.parquet(f"{tmp_path}/o.parquet")
+    src = spark.read.parquet(f"{tmp_path}/o.parquet")
+
+    def m(target, cols, **extra):
+        return TableMapping.from_dict(
+            {"id": target, "sourceTable": "o", "targetTable": target, "mappingType": "one-to-many",
+             "columnMappings": [{"sourceColumn": s, "targetColumn": t, "transformation": {"type": "direct"}} for s, t in cols], **extra}
+        )
+
+    maps = [m("all", [("k", "id")]), m("open", [("k", "id"), ("st", "state")], filterConditions=["st <> 'F'"]), m("off", [("k", "id")], enabled=False)]
+    maps.append(TableMapping(**{**m("prio", [("pr", "priority"), ("k", "first")]).__dict__, "distinct": True}))
+    fanned = rs.fan_out(src, {"a": [("id", F.col("k"))], "b": [("id", F.col("k")), ("state", F.col("st"))]}, {"b": F.col("st") != "F"})
+    assert fanned._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    got = rs.load_mappings({"o": src}, maps, fresh_path(spark, "split"))
+    assert set(got) == {"all", "open", "prio"}
+    assert sorted(r.id for r in got["all"].collect()) == [1, 2, 3, 4]
+    assert sorted(tuple(r) for r in got["open"].collect()) == [(2, "O"), (3, "O")]
+    assert sorted(tuple(r) for r in got["prio"].collect()) == [("hi", 1), ("lo", 2)]
+    with pytest.raises(ValueError):
+        rs.compile_mapping({"o": src}, maps[2])
