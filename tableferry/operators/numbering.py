@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from tableferry.session import ensure_checkpoints
 
-KEYLESS_BLOCKS = 1024
 BLOCK_ROWS = 1 << 16
 BLOCK_FAN = 1 << 12
 
@@ -81,21 +80,34 @@ def _starts(sizes: DataFrame, block: str) -> DataFrame:
 def number_by_key(df: DataFrame, key: str, out: str, start: int = 1, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Dense numbers in the order of an integer key, rows without a key last.
 
-    The first pass counts rows per block of keys; the second numbers rows
-    inside each block.  A block of different keys never holds more than
-    ``block_rows`` rows; a repeated key makes its block longer by its repeats.
-    Rows without a key are dealt over blocks of their own by a hash of the row.
+    Rows are counted per key (partial aggregation collapses repeats before the
+    shuffle), and each key's first number is a running total over the
+    distinct keys.  A key with more than ``block_rows`` rows, and the rows
+    without a key, are cut into parts of about ``block_rows`` rows by a hash
+    of the row, as many as they need; parts are numbered one after the other,
+    so no window holds much more than ``block_rows`` rows however often a key
+    repeats.  Equal keys are numbered in an order fixed by the rows' values.
     """
     plain = [c for c, kind in df.dtypes if not kind.startswith(("map", "variant")) and "map<" not in kind]
-    keyless = F.lit(1 << 62) + F.pmod(F.xxhash64(*plain), F.lit(KEYLESS_BLOCKS))
-    marked = df.withColumn("__kb", F.coalesce(block_of(F.col(key), block_rows).cast("bigint"), keyless))
-    sizes = marked.groupBy("__kb").agg(F.count(F.lit(1)).alias("__n"))
-    starts = _starts(sizes, "__kb")
-    order = Window.partitionBy("__kb").orderBy(key)
+    k = F.col(f"`{key}`")
+    # keys in order, NULL last at a position after every key
+    slot = F.when(k.isNull(), F.lit(1 << 62)).otherwise(k.cast("bigint"))
+    marked = df.withColumn("__slot", slot)
+    counts = marked.groupBy("__slot").agg(F.count(F.lit(1)).alias("__n"))
+    ensure_checkpoints(df.sparkSession)
+    key_from = running_total(counts.checkpoint(), "__slot", "__n", "__end").select(
+        "__slot", (F.col("__end") - F.col("__n")).alias("__kf"), F.ceil(F.col("__n") / block_rows).cast("bigint").alias("__parts")
+    )
+    parted = marked.join(key_from, "__slot").withColumn("__part", F.pmod(F.xxhash64(*plain), F.col("__parts")))
+    sizes = parted.groupBy("__slot", "__part").agg(F.count(F.lit(1)).alias("__n"))
+    part_from = running_total(sizes, "__part", "__n", "__end", keys=["__slot"]).select(
+        "__slot", "__part", (F.col("__end") - F.col("__n")).alias("__pf")
+    )
+    order = Window.partitionBy("__slot", "__part").orderBy(*[F.col(f"`{c}`").asc_nulls_first() for c in plain])
     return (
-        marked.join(starts, "__kb")
-        .withColumn(out, F.row_number().over(order) + F.col("__from") + (start - 1))
-        .drop("__kb", "__from")
+        parted.join(part_from, ["__slot", "__part"])
+        .withColumn(out, F.row_number().over(order) - 1 + F.col("__kf") + F.col("__pf") + start)
+        .drop("__slot", "__part", "__kf", "__pf", "__parts")
     )
 
 

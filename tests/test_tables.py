@@ -338,3 +338,16 @@ def test_one_scan_feeds_every_target(spark, tmp_path):
     assert sorted(tuple(r) for r in got["prio"].collect()) == [("hi", 1), ("lo", 2)]
     with pytest.raises(ValueError):
         rs.compile_mapping({"o": src}, maps[2])
+
+
+def test_a_key_on_half_the_rows_is_numbered_in_parts(spark):
+    rows = [(7, f"r{i}") for i in range(300)] + [(i, "x") for i in range(300)] + [(None, f"n{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "k long, t string").repartition(4)
+    got = numbering.number_by_key(df, "k", "n", start=0, block_rows=16).collect()
+    assert sorted(r.n for r in got) == list(range(640))
+    ordered = [r.k for r in sorted(got, key=lambda r: r.n)]
+    assert ordered == sorted((r[0] for r in rows if r[0] is not None)) + [None] * 40
+    again = {(r.k, r.t): r.n for r in numbering.number_by_key(df.repartition(3), "k", "n", start=0, block_rows=16).collect()}
+    assert again == {(r.k, r.t): r.n for r in got}
+    batches = numbering.assign_batches(df, "k", 100, block_rows=16).groupBy("batch_no").count().collect()
+    assert sorted((r.batch_no, r["count"]) for r in batches) == [(i, 100) for i in range(6)] + [(6, 40)]
