@@ -1,7 +1,9 @@
 """Near-duplicate join on sets of word n-grams by rare-first prefix filtering.
 
-Every n-gram is ordered by its document frequency (rarest first, then by its
-64-bit hash).  Two sets of sizes ``a`` and ``b`` reach the threshold ``t`` only if
+Every n-gram is ordered by how many rows hold n-grams of its hash bucket
+(rarest first, then by its 64-bit hash): the counts of ``BUCKETS`` buckets are a
+sketch of bounded size, any order that all sets share keeps the filter exact,
+and a frequent n-gram makes its bucket frequent.  Two sets of sizes ``a`` and ``b`` reach the threshold ``t`` only if
 they share one of the first ``a - ceil(t a) + 1`` n-grams of each (the prefix),
 so only prefix n-grams are joined.  A candidate pair must pass the length
 filter (``t max <= min``), the positional filter at its first shared prefix
@@ -10,8 +12,13 @@ filter (a lower bound of the symmetric difference of the rests, by splitting
 both at a probe n-gram, two levels deep); the pair is then verified once,
 by an exact count of shared n-grams.
 
-Identical sets are one set before the join: their members are linked to
-each other anyway, so a group of thousands of exact copies costs one row.
+Whole sets are never shuffled or kept: a pass over the texts counts the
+buckets, a second one keeps the prefix of each set, and the sets of candidates
+alone are made again from their texts for the verification.
+
+Identical sets (by a 128-bit digest of their n-grams) are one set before the
+join: their members are linked to each other anyway, so a group of thousands
+of exact copies costs one row.
 A prefix n-gram shared by very many sets is cut into hash blocks, and block
 pairs meet in their own tasks, so no task holds a frequent n-gram's list.
 Components of the verified links come from rounds of joins
@@ -21,6 +28,8 @@ Components of the verified links come from rounds of joins
 from __future__ import annotations
 
 import bisect
+import hashlib
+from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -30,32 +39,86 @@ from pyspark.sql import functions as F
 
 from tableferry.llm.arrow import map_batches
 from tableferry.llm.links import components
+from tableferry.llm.repeats import _batched, grams, word_hashes
 from tableferry.session import ensure_checkpoints, fresh_path
 
-WORDS = r"[^\x20\x09-\x0D]+"
 BLOCK = 2048
 DEPTH = 2
+BUCKETS = 1 << 18
 
 
-def shingle_sets(text, width: int = 3):
-    """Array of the distinct ``width``-word shingles (64-bit hashes) of ``text`` with A-Z lower-cased.
+def shingle_sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
+    """The distinct ``width``-word shingles (sorted 64-bit hashes) of each text with A-Z lower-cased.
 
-    Fewer words give the whole sequence as one shingle; no words, or NULL text, the empty array.
-    The words are found once: the shingles are zipped from shifted slices of
-    them, so no lambda looks at the whole word list again.
+    Fewer words give the whole sequence as one shingle; no words, or NULL text, the empty set.
     """
-    lowered = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = F.regexp_extract_all(F.coalesce(lowered, F.lit("")), F.lit(WORDS), 0)
-    return _shingles(words, width)
+    lowered = [(t or "").encode().lower() for t in texts]
+    for a, b in _batched(np.array([len(t) for t in lowered])):
+        words, begins = word_hashes(lowered[a:b])
+        runs = grams(words, width)
+        for first, end in zip(begins, begins[1:]):
+            n = end - first
+            yield np.unique(runs[first : end - width + 1] if n >= width else grams(words[first:end], n) if n else words[:0])
+
+
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def bucket_counts(docs: DataFrame, width: int) -> np.ndarray:
+    """How many n-grams of all sets fall into each bucket: a sketch of document frequencies, of the same size for any input."""
+
+    def run(batches):
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            found = list(shingle_sets(batch.column("text").to_pylist(), width))
+            if found:
+                total += np.bincount(_bucket(np.concatenate(found)), minlength=BUCKETS)
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(total[held])], ["bucket", "n"])
+
+    counted = map_batches(docs.select("text"), run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(BUCKETS, np.int64)
+    out[counted.column("bucket").to_numpy()] = counted.column("n").to_numpy()
+    return np.minimum(out, np.iinfo(np.int32).max).astype(np.int32)
 
 
-def _shingles(words, width: int):
-    n = F.size(words)
-    runs = F.greatest(n - width + 1, F.lit(0))
-    zipped = F.arrays_zip(*[F.slice(words, k + 1, runs).alias(f"w{k}") for k in range(width)])
-    grams = F.transform(zipped, lambda s: F.xxhash64(F.concat_ws(" ", *[s[f"w{k}"] for k in range(width)])))
-    whole = F.array(F.xxhash64(F.array_join(words, " ")))
-    return F.when(n == 0, F.array().cast("array<long>")).when(n < width, whole).otherwise(F.array_distinct(grams))
+def _rare_first(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return hashes[np.lexsort((hashes, counts[_bucket(hashes)]))]
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    offsets = np.cumsum([0] + [len(x) for x in arrays]).astype(np.int32)
+    values = np.concatenate([np.zeros(0, np.uint64), *arrays]).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+
+
+def _prefixes(width: int, t: Fraction, counts: np.ndarray):
+    """Per text the size and digest of its set, and the n-grams of its prefix in order."""
+
+    def run(batches):
+        for batch in batches:
+            sizes, digests, heads = [], [], []
+            for grams_ in shingle_sets(batch.column("text").to_pylist(), width):
+                n = len(grams_)
+                sizes.append(n)
+                digests.append(hashlib.blake2b(grams_.tobytes(), digest_size=16).digest())
+                keep = n + (-n * t.numerator) // t.denominator + 1 if n else 0
+                heads.append(_rare_first(grams_, counts)[:keep])
+            marks = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            made = [pa.array(sizes, pa.int64()), pa.array(marks[:, 0].copy()), pa.array(marks[:, 1].copy()), _lists(heads)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "t1", "t2")), *made], ["doc_id", "t1", "t2", "size", "f1", "f2", "heads"])
+
+    return run
+
+
+def _whole(width: int, counts: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            made = [_rare_first(s, counts) for s in shingle_sets(batch.column("text").to_pylist(), width)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), _lists(made)], ["id", "grams"])
+
+    return run
 
 
 def _ceil_times(size, t: Fraction):
@@ -81,27 +144,29 @@ def _hamming_bound(x: list, y: list, depth: int) -> int:
     return left + right + (0 if found else 1)
 
 
-def _verifier(t: Fraction):
+def _verifier(t: Fraction, counts: np.ndarray):
     num, den = t.numerator, t.denominator
 
+    def ordered(hashes: np.ndarray) -> list:
+        return list(zip(counts[_bucket(hashes)].tolist(), hashes.tolist()))
+
     def run(batches):
         for b in batches:
-            d = b.to_pydict()
+            px, py = (b.column(c).to_pylist() for c in ("px", "py"))
+            sets = []
+            for c in ("xs", "ys"):
+                column = b.column(c)
+                values, at = np.asarray(column.values).view(np.uint64), np.asarray(column.offsets)
+                sets.append([values[i:j] for i, j in zip(at, at[1:])])
             keep = []
-            for i in range(len(b)):
-                ax, ay = d["xs"][i], d["ys"][i]
+            for ax, ay, p, q in zip(*sets, px, py):
                 sx, sy = len(ax), len(ay)
                 # overlap o links when o / (sx + sy - o) >= t, i.e. o >= t (sx + sy) / (1 + t)
                 need = -(-num * (sx + sy) // (num + den))
-                px, py = d["px"][i], d["py"][i]
-                hmax = sx + sy - 2 * need - (px + py)
-                ok = hmax >= 0
+                hmax = sx + sy - 2 * need - (p + q)
+                ok = hmax >= 0 and _hamming_bound(ordered(ax[p + 1 :]), ordered(ay[q + 1 :]), DEPTH) <= hmax
                 if ok:
-                    kx = [tuple(v) for v in zip(d["xf"][i][px + 1 :], ax[px + 1 :])]
-                    ky = [tuple(v) for v in zip(d["yf"][i][py + 1 :], ay[py + 1 :])]
-                    ok = _hamming_bound(kx, ky, DEPTH) <= hmax
-                if ok:
-                    common = len(np.intersect1d(np.asarray(ax, np.int64), np.asarray(ay, np.int64), assume_unique=True))
+                    common = len(np.intersect1d(ax, ay, assume_unique=True))
                     ok = den * common >= num * (sx + sy - common)
                 keep.append(ok)
             yield pa.RecordBatch.from_arrays([b.column("x"), b.column("y"), pa.array(keep, pa.bool_())], ["x", "y", "linked"])
@@ -109,6 +174,12 @@ def _verifier(t: Fraction):
     return run
 
 
+def _written(df: DataFrame, label: str) -> DataFrame:
+    path = fresh_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def jaccard_components(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 3, threshold: Fraction = Fraction(9, 10)) -> DataFrame:
     """One row per input row: ``doc_id``, ``n_shingles`` long, ``component_id``, ``n_links`` long.
 
@@ -125,36 +196,22 @@ def jaccard_components(df: DataFrame, text: str = "text", key: str = "doc_id", w
     spark = df.sparkSession
     ensure_checkpoints(spark)
     t = Fraction(threshold)
-    path = fresh_path(spark, "sets")
-    lowered = F.translate(F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = df.select(F.col(key).cast("long").alias("doc_id"), F.regexp_extract_all(F.coalesce(lowered, F.lit("")), F.lit(WORDS), 0).alias("w"))
-    base = words.select("doc_id", _shingles(F.col("w"), width).alias("g"))
-    base.withColumn("rid", F.monotonically_increasing_id()).withColumn("set", F.sha2(F.array_join(F.array_sort("g"), ","), 256)).write.parquet(path)
-    rows = spark.read.parquet(path)
-
-    # identical non-empty sets collapse into their smallest row
-    full = rows.where(F.size("g") > 0)
-    reps = full.groupBy("set", F.size("g").alias("n")).agg(F.min("rid").alias("rep"))
-    members = full.select("rid", "doc_id", "set", F.size("g").alias("n")).join(reps, ["set", "n"])
-    sets = rows.join(reps.select(F.col("rep").alias("rid")), "rid").select("rid", "g")
-
-    postings = sets.select("rid", F.explode("g").alias("gram"))
-    freq = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    ordered_path = fresh_path(spark, "ordered")
-    (
-        postings.join(freq, "gram")
-        .groupBy("rid")
-        .agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("o"))
-        .select("rid", F.col("o.gram").alias("grams"), F.col("o.df").alias("dfs"), F.size("o").alias("size"))
-        .write.parquet(ordered_path)
-    )
-    ordered = spark.read.parquet(ordered_path)
+    key_, text_ = F.col(f"`{key}`"), F.col(f"`{text}`")
+    # two hashes stand for a text, so that only the texts of candidates are sought again
+    docs = df.select(key_.cast("long").alias("doc_id"), F.xxhash64(text_).alias("t1"), F.xxhash64(F.lit(1), text_).alias("t2"), text_.alias("text"))
+    counts = bucket_counts(docs, width)
+    schema = "doc_id long, t1 long, t2 long, size long, f1 long, f2 long, heads array<long>"
+    rows = _written(map_batches(docs, _prefixes(width, t, counts), schema), "prefixes")
 
-    size = F.col("size")
-    heads = ordered.select(
-        "rid", "size", F.posexplode(F.slice("grams", 1, (size - _ceil_times(size, t) + 1).cast("int"))).alias("pos", "gram")
+    # identical non-empty sets collapse into one
+    mark = ["f1", "f2", "size"]
+    alike = rows.where("size > 0").groupBy(*mark).agg(
+        F.first("heads").alias("heads"), F.min(F.struct("t1", "t2")).alias("t"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")
     )
-    spread = heads.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))
+    sets = _written(alike.withColumn("id", F.monotonically_increasing_id()), "sets")
+
+    heads = sets.select(F.col("id").alias("rid"), "size", F.posexplode("heads").alias("pos", "gram"))
+    spread = heads.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"))
     heads = heads.join(spread, "gram").withColumn("b", F.pmod(F.xxhash64("rid"), F.col("nb")).cast("int"))
     cells = heads.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
         "gram", "rid", "size", "pos", "b", F.least("b", "j").alias("lo"), F.greatest("b", "j").alias("hi")
@@ -173,30 +230,33 @@ def jaccard_components(df: DataFrame, text: str = "text", key: str = "doc_id", w
         (F.least("l_size", "r_size") * t.denominator >= F.greatest("l_size", "r_size") * t.numerator)
         & (1 + F.least(F.col("l_size") - F.col("l_pos") - 1, F.col("r_size") - F.col("r_pos") - 1) >= need)
     )
-    firsts = pairs.groupBy(F.col("l_rid").alias("x"), F.col("r_rid").alias("y")).agg(
-        F.min("l_pos").alias("px"), F.min("r_pos").alias("py")
+    firsts = _written(
+        pairs.groupBy(F.col("l_rid").alias("x"), F.col("r_rid").alias("y")).agg(F.min("l_pos").alias("px"), F.min("r_pos").alias("py")), "pairs"
     )
-    xs = ordered.select(F.col("rid").alias("x"), F.col("grams").alias("xs"), F.col("dfs").alias("xf"))
-    ys = ordered.select(F.col("rid").alias("y"), F.col("grams").alias("ys"), F.col("dfs").alias("yf"))
-    candidates = firsts.join(xs, "x").join(ys, "y").select("x", "y", "px", "py", "xs", "xf", "ys", "yf")
-    checked = map_batches(candidates, _verifier(t), "x long, y long, linked boolean")
-    links_path = fresh_path(spark, "links")
-    checked.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b")).write.parquet(links_path)
-    links = spark.read.parquet(links_path)
+    wanted = firsts.select(F.col("x").alias("id")).union(firsts.select("y")).distinct().join(sets.select("id", "t.t1", "t.t2"), "id")
+    # copies of a text become one before they are shuffled
+    texts = docs.groupBy("t1", "t2").agg(F.first("text").alias("text")).join(wanted, ["t1", "t2"]).select("id", "text")
+    whole = _written(map_batches(texts, _whole(width, counts), "id long, grams array<long>"), "whole")
+    xs = whole.select(F.col("id").alias("x"), F.col("grams").alias("xs"))
+    ys = whole.select(F.col("id").alias("y"), F.col("grams").alias("ys"))
+    candidates = firsts.join(xs, "x").join(ys, "y").select("x", "y", "px", "py", "xs", "ys")
+    checked = map_batches(candidates, _verifier(t, counts), "x long, y long, linked boolean")
+    links = _written(checked.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b")), "links")
 
     roots = components(links)
-    labelled = members.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select(
-        "rid", "rep", "doc_id", F.coalesce("root", "rep").alias("root")
-    )
-    smallest = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    copies = members.groupBy("rep").agg(F.count(F.lit(1)).alias("c"))
+    plain = sets.select("id", *mark, "least", "copies")
+    labelled = plain.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     ends = links.select("a", "b").union(links.select("b", "a"))
-    partners = ends.join(copies.select(F.col("rep").alias("b"), "c"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("c").alias("p"))
-    degree = copies.join(partners, "rep", "left").select("rep", (F.col("c") - 1 + F.coalesce("p", F.lit(0))).alias("n_links"))
-    linked = labelled.join(smallest, "root").join(degree, "rep").select("rid", "component_id", "n_links")
-    return rows.join(linked, "rid", "left").select(
+    partners = ends.join(plain.select(F.col("id").alias("b"), "copies"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("copies").alias("p"))
+    linked = (
+        labelled.join(smallest, "root")
+        .join(partners, "id", "left")
+        .select(*mark, "component_id", (F.col("copies") - 1 + F.coalesce("p", F.lit(0))).alias("n_links"))
+    )
+    return rows.select("doc_id", *mark).join(linked, mark, "left").select(
         "doc_id",
-        F.size("g").cast("long").alias("n_shingles"),
-        F.when(F.size("g") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.col("size").alias("n_shingles"),
+        F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pathlib
 import random
 import re
 import zlib
@@ -103,6 +104,7 @@ def test_tournament_equals_argmin():
 # ---- n-gram Jaccard join ---------------------------------------------------------------------------------------
 
 from tableferry.llm import jaccard  # noqa: E402
+from tableferry.session import shared_folder  # noqa: E402
 
 
 def shingles(text, width=3):
@@ -171,6 +173,17 @@ def test_jaccard_small_blocks_and_empty(spark, monkeypatch):
     assert jaccard.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_jaccard_keeps_prefixes_not_whole_sets(spark):
+    """Texts without near copies: what is written stays well below one hash per shingle."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(400))) for i in range(300)]
+    folder = pathlib.Path(shared_folder(spark).removeprefix("file:"))
+    before = set(folder.rglob("*.parquet"))
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.component_id == r.doc_id and r.n_links == 0 and r.n_shingles == 398 for r in got) and len(got) == 300
+    assert sum(f.stat().st_size for f in set(folder.rglob("*.parquet")) - before) < 300 * 398 * 8 // 2
+
+
 def test_hamming_bound_is_a_lower_bound():
     rng = random.Random(2)
     for _ in range(500):
