@@ -103,7 +103,7 @@ def test_tournament_equals_argmin():
 
 # ---- n-gram Jaccard join ---------------------------------------------------------------------------------------
 
-from tableferry.llm import jaccard  # noqa: E402
+from tableferry.llm import jaccard, repeats  # noqa: E402
 from tableferry.session import shared_folder  # noqa: E402
 
 
@@ -192,6 +192,17 @@ def test_hamming_bound_is_a_lower_bound():
         assert jaccard._hamming_bound(x, y, 2) <= len(set(x) ^ set(y))
 
 
+def test_passages_carry_deflated_texts(spark):
+    """Texts meet their wanted places deflated, whole and under their row's marks."""
+    rows = [(1, "one two three " * 200), (2, "\u00fcber \n x"), (3, ""), (None, "y"), (4, None)]
+    named = repeats.named(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    marks = {(r.u1, r.u2): r.text for r in named.collect()}
+    got = repeats.packed(named).collect()
+    assert sorted(zlib.decompress(r.packed).decode() for r in got) == sorted(t for _, t in rows if t is not None)
+    assert all(marks[r.u1, r.u2] == zlib.decompress(r.packed).decode() for r in got)
+    assert max(len(r.packed) for r in got) < 200
+
+
 # ---- Merkle manifest -------------------------------------------------------------------------------------------
 
 from tableferry.llm import manifest  # noqa: E402
