@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from tableferry.llm.arrow import map_batches
 from tableferry.llm.links import components
 from tableferry.llm.repeats import _batched, grams, word_hashes
-from tableferry.session import ensure_checkpoints, fresh_path
+from tableferry.session import ensure_checkpoints, written
 
 BLOCK = 2048
 DEPTH = 2
@@ -174,12 +174,6 @@ def _verifier(t: Fraction, counts: np.ndarray):
     return run
 
 
-def _written(df: DataFrame, label: str) -> DataFrame:
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def jaccard_components(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 3, threshold: Fraction = Fraction(9, 10)) -> DataFrame:
     """One row per input row: ``doc_id``, ``n_shingles`` long, ``component_id``, ``n_links`` long.
 
@@ -201,14 +195,14 @@ def jaccard_components(df: DataFrame, text: str = "text", key: str = "doc_id", w
     docs = df.select(key_.cast("long").alias("doc_id"), F.xxhash64(text_).alias("t1"), F.xxhash64(F.lit(1), text_).alias("t2"), text_.alias("text"))
     counts = bucket_counts(docs, width)
     schema = "doc_id long, t1 long, t2 long, size long, f1 long, f2 long, heads array<long>"
-    rows = _written(map_batches(docs, _prefixes(width, t, counts), schema), "prefixes")
+    rows = written(map_batches(docs, _prefixes(width, t, counts), schema), "prefixes")
 
     # identical non-empty sets collapse into one
     mark = ["f1", "f2", "size"]
     alike = rows.where("size > 0").groupBy(*mark).agg(
         F.first("heads").alias("heads"), F.min(F.struct("t1", "t2")).alias("t"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")
     )
-    sets = _written(alike.withColumn("id", F.monotonically_increasing_id()), "sets")
+    sets = written(alike.withColumn("id", F.monotonically_increasing_id()), "sets")
 
     heads = sets.select(F.col("id").alias("rid"), "size", F.posexplode("heads").alias("pos", "gram"))
     spread = heads.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"))
@@ -230,18 +224,18 @@ def jaccard_components(df: DataFrame, text: str = "text", key: str = "doc_id", w
         (F.least("l_size", "r_size") * t.denominator >= F.greatest("l_size", "r_size") * t.numerator)
         & (1 + F.least(F.col("l_size") - F.col("l_pos") - 1, F.col("r_size") - F.col("r_pos") - 1) >= need)
     )
-    firsts = _written(
+    firsts = written(
         pairs.groupBy(F.col("l_rid").alias("x"), F.col("r_rid").alias("y")).agg(F.min("l_pos").alias("px"), F.min("r_pos").alias("py")), "pairs"
     )
     wanted = firsts.select(F.col("x").alias("id")).union(firsts.select("y")).distinct().join(sets.select("id", "t.t1", "t.t2"), "id")
     # copies of a text become one before they are shuffled
     texts = docs.groupBy("t1", "t2").agg(F.first("text").alias("text")).join(wanted, ["t1", "t2"]).select("id", "text")
-    whole = _written(map_batches(texts, _whole(width, counts), "id long, grams array<long>"), "whole")
+    whole = written(map_batches(texts, _whole(width, counts), "id long, grams array<long>"), "whole")
     xs = whole.select(F.col("id").alias("x"), F.col("grams").alias("xs"))
     ys = whole.select(F.col("id").alias("y"), F.col("grams").alias("ys"))
     candidates = firsts.join(xs, "x").join(ys, "y").select("x", "y", "px", "py", "xs", "ys")
     checked = map_batches(candidates, _verifier(t, counts), "x long, y long, linked boolean")
-    links = _written(checked.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b")), "links")
+    links = written(checked.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b")), "links")
 
     roots = components(links)
     plain = sets.select("id", *mark, "least", "copies")
