@@ -7,14 +7,16 @@ and a frequent n-gram makes its bucket frequent.  Two sets of sizes ``a`` and ``
 they share one of the first ``a - ceil(t a) + 1`` n-grams of each (the prefix),
 so only prefix n-grams are joined.  A candidate pair must pass the length
 filter (``t max <= min``), the positional filter at its first shared prefix
-n-gram (one plus the shorter rest must reach the needed overlap) and a suffix
-filter (a lower bound of the symmetric difference of the rests, by splitting
+n-gram (one plus the shorter rest must reach the needed overlap), a parity
+filter (1,024 parity bits per set; more differing bits than n-grams may differ
+rule a pair out before its texts are sought) and a suffix filter (a lower bound of the symmetric difference of the rests, by splitting
 both at a probe n-gram, two levels deep); the pair is then verified once,
 by an exact count of shared n-grams.
 
 Whole sets are never shuffled or kept: a pass over the texts counts the
 buckets, a second one keeps the prefix of each set, and the sets of candidates
-alone are made again from their texts for the verification.
+alone are made again from their texts for the verification, where a set comes
+once to each cell of pairs instead of once to each pair.
 
 Identical sets (by a 128-bit digest of their n-grams) are one set before the
 join: their members are linked to each other anyway, so a group of thousands
@@ -45,6 +47,9 @@ from tableferry.session import ensure_checkpoints, written
 BLOCK = 2048
 DEPTH = 2
 BUCKETS = 1 << 18
+PARITY = 1024  # bits
+CELL = ("low", "bx", "by")
+CELL_PAIRS = 1 << 12
 
 
 def shingle_sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
@@ -93,21 +98,32 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
+def _parities(hashes: np.ndarray) -> np.ndarray:
+    """For each of ``PARITY`` classes of hashes, whether the set holds an odd number of it, packed into longs.
+
+    An n-gram that only one of two sets holds turns one bit, so the bits that differ
+    are at most as many as the n-grams that differ.
+    """
+    odd = np.bincount((hashes >> np.uint64(40)).astype(np.int64) % PARITY, minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
 def _prefixes(width: int, t: Fraction, counts: np.ndarray):
-    """Per text the size and digest of its set, and the n-grams of its prefix in order."""
+    """Per text the size, digest and parities of its set, and the n-grams of its prefix in order."""
 
     def run(batches):
         for batch in batches:
-            sizes, digests, heads = [], [], []
+            sizes, digests, heads, bits = [], [], [], []
             for grams_ in shingle_sets(batch.column("text").to_pylist(), width):
                 n = len(grams_)
                 sizes.append(n)
                 digests.append(hashlib.blake2b(grams_.tobytes(), digest_size=16).digest())
                 keep = n + (-n * t.numerator) // t.denominator + 1 if n else 0
                 heads.append(_rare_first(grams_, counts)[:keep])
+                bits.append(_parities(grams_))
             marks = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            made = [pa.array(sizes, pa.int64()), pa.array(marks[:, 0].copy()), pa.array(marks[:, 1].copy()), _lists(heads)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "t1", "t2")), *made], ["doc_id", "t1", "t2", "size", "f1", "f2", "heads"])
+            made = [pa.array(sizes, pa.int64()), pa.array(marks[:, 0].copy()), pa.array(marks[:, 1].copy()), _lists(heads), _lists(bits)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "t1", "t2")), *made], ["doc_id", "t1", "t2", "size", "f1", "f2", "heads", "bits"])
 
     return run
 
@@ -150,30 +166,47 @@ def _verifier(t: Fraction, counts: np.ndarray):
     def ordered(hashes: np.ndarray) -> list:
         return list(zip(counts[_bucket(hashes)].tolist(), hashes.tolist()))
 
+    def linked(ax: np.ndarray, ay: np.ndarray, p: int, q: int) -> bool:
+        sx, sy = len(ax), len(ay)
+        # overlap o links when o / (sx + sy - o) >= t, i.e. o >= t (sx + sy) / (1 + t)
+        need = -(-num * (sx + sy) // (num + den))
+        hmax = sx + sy - 2 * need - (p + q)
+        if hmax < 0 or _hamming_bound(ordered(ax[p + 1 :]), ordered(ay[q + 1 :]), DEPTH) > hmax:
+            return False
+        common = len(np.intersect1d(ax, ay, assume_unique=True))
+        return den * common >= num * (sx + sy - common)
+
     def run(batches):
+        cell, held = None, {}
         for b in batches:
-            px, py = (b.column(c).to_pylist() for c in ("px", "py"))
-            sets = []
-            for c in ("xs", "ys"):
-                column = b.column(c)
-                values, at = np.asarray(column.values).view(np.uint64), np.asarray(column.offsets)
-                sets.append([values[i:j] for i, j in zip(at, at[1:])])
+            values, at = np.asarray(b.column("grams").values).view(np.uint64), np.asarray(b.column("grams").offsets)
             keep = []
-            for ax, ay, p, q in zip(*sets, px, py):
-                sx, sy = len(ax), len(ay)
-                # overlap o links when o / (sx + sy - o) >= t, i.e. o >= t (sx + sy) / (1 + t)
-                need = -(-num * (sx + sy) // (num + den))
-                hmax = sx + sy - 2 * need - (p + q)
-                ok = hmax >= 0 and _hamming_bound(ordered(ax[p + 1 :]), ordered(ay[q + 1 :]), DEPTH) <= hmax
-                if ok:
-                    common = len(np.intersect1d(ax, ay, assume_unique=True))
-                    ok = den * common >= num * (sx + sy - common)
-                keep.append(ok)
-            yield pa.RecordBatch.from_arrays([b.column("x"), b.column("y"), pa.array(keep, pa.bool_())], ["x", "y", "linked"])
+            for i, (*own, x, y, p, q) in enumerate(zip(*(b.column(c).to_pylist() for c in (*CELL, "x", "y", "px", "py")))):
+                if own != cell:
+                    cell, held = own, {}
+                if y is None:
+                    held[x] = values[at[i] : at[i + 1]].copy()
+                elif linked(held[x], held[y], p, q):
+                    keep.append(i)
+            yield pa.RecordBatch.from_arrays([b.column(c).take(pa.array(keep, pa.int64())) for c in ("x", "y")], ["a", "b"])
 
     return run
 
 
+def _in_cells(pairs: DataFrame) -> DataFrame:
+    """The pairs (x < y) with the cell that verifies each.
+
+    A pair goes by the smallest partner of its ``x`` that is below it, so that the
+    pairs of a group of near copies go together; a group of more than
+    ``CELL_PAIRS`` pairs is cut into hash blocks of sets, a cell for two of them.
+    """
+    low = pairs.groupBy(F.col("y").alias("x")).agg(F.min("x").alias("low"))
+    pairs = pairs.join(low, "x", "left").withColumn("low", F.coalesce("low", "x"))
+    cut = pairs.groupBy("low").agg(F.ceil(F.sqrt(F.count(F.lit(1)) / CELL_PAIRS)).alias("n"))
+    block = lambda c: F.pmod(F.xxhash64(c), F.col("n"))
+    return pairs.join(cut, "low").select("low", block("x").alias("bx"), block("y").alias("by"), "x", "y", "px", "py")
+
+
 def jaccard_components(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 3, threshold: Fraction = Fraction(9, 10)) -> DataFrame:
     """One row per input row: ``doc_id``, ``n_shingles`` long, ``component_id``, ``n_links`` long.
 
@@ -194,13 +227,13 @@ def jaccard_components(df: DataFrame, text: str = "text", key: str = "doc_id", w
     # two hashes stand for a text, so that only the texts of candidates are sought again
     docs = df.select(key_.cast("long").alias("doc_id"), F.xxhash64(text_).alias("t1"), F.xxhash64(F.lit(1), text_).alias("t2"), text_.alias("text"))
     counts = bucket_counts(docs, width)
-    schema = "doc_id long, t1 long, t2 long, size long, f1 long, f2 long, heads array<long>"
+    schema = "doc_id long, t1 long, t2 long, size long, f1 long, f2 long, heads array<long>, bits array<long>"
     rows = written(map_batches(docs, _prefixes(width, t, counts), schema), "prefixes")
 
     # identical non-empty sets collapse into one
     mark = ["f1", "f2", "size"]
     alike = rows.where("size > 0").groupBy(*mark).agg(
-        F.first("heads").alias("heads"), F.min(F.struct("t1", "t2")).alias("t"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")
+        F.first("heads").alias("heads"), F.first("bits").alias("bits"), F.min(F.struct("t1", "t2")).alias("t"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")
     )
     sets = written(alike.withColumn("id", F.monotonically_increasing_id()), "sets")
 
@@ -224,18 +257,23 @@ def jaccard_components(df: DataFrame, text: str = "text", key: str = "doc_id", w
         (F.least("l_size", "r_size") * t.denominator >= F.greatest("l_size", "r_size") * t.numerator)
         & (1 + F.least(F.col("l_size") - F.col("l_pos") - 1, F.col("r_size") - F.col("r_pos") - 1) >= need)
     )
-    firsts = written(
-        pairs.groupBy(F.col("l_rid").alias("x"), F.col("r_rid").alias("y")).agg(F.min("l_pos").alias("px"), F.min("r_pos").alias("py")), "pairs"
-    )
+    firsts = pairs.groupBy(F.col("l_rid").alias("x"), F.col("r_rid").alias("y"), "l_size", "r_size").agg(F.min("l_pos").alias("px"), F.min("r_pos").alias("py"))
+    xs, ys = (sets.select(F.col("id").alias(c), F.col("bits").alias(f"{c}_bits")) for c in "xy")
+    differ = sum(F.bit_count(F.col("x_bits")[i].bitwiseXOR(F.col("y_bits")[i])) for i in range(PARITY // 64))
+    near = firsts.join(xs, "x").join(ys, "y").where(differ <= F.col("l_size") + F.col("r_size") - 2 * need)
+    firsts = written(near.select("x", "y", "px", "py"), "pairs")
     wanted = firsts.select(F.col("x").alias("id")).union(firsts.select("y")).distinct().join(sets.select("id", "t.t1", "t.t2"), "id")
     # copies of a text become one before they are shuffled
     texts = docs.groupBy("t1", "t2").agg(F.first("text").alias("text")).join(wanted, ["t1", "t2"]).select("id", "text")
     whole = written(map_batches(texts, _whole(width, counts), "id long, grams array<long>"), "whole")
-    xs = whole.select(F.col("id").alias("x"), F.col("grams").alias("xs"))
-    ys = whole.select(F.col("id").alias("y"), F.col("grams").alias("ys"))
-    candidates = firsts.join(xs, "x").join(ys, "y").select("x", "y", "px", "py", "xs", "ys")
-    checked = map_batches(candidates, _verifier(t, counts), "x long, y long, linked boolean")
-    links = written(checked.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b")), "links")
+    # a set comes once to each cell, ahead of the cell's pairs
+    pairs = written(_in_cells(firsts), "cells")
+    members = pairs.select(*CELL, F.col("x").alias("id")).union(pairs.select(*CELL, "y")).distinct().join(whole, "id")
+    no = F.lit(None)
+    came = members.select(*CELL, F.col("id").alias("x"), no.cast("long").alias("y"), no.cast("int").alias("px"), no.cast("int").alias("py"), "grams")
+    came = came.union(pairs.select(*CELL, "x", "y", "px", "py", F.array().cast("array<long>").alias("grams")))
+    laid = came.repartition(*CELL).sortWithinPartitions(*CELL, F.col("y").asc_nulls_first())
+    links = written(map_batches(laid, _verifier(t, counts), "a long, b long"), "links")
 
     roots = components(links)
     plain = sets.select("id", *mark, "least", "copies")
