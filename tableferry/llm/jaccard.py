@@ -23,6 +23,8 @@ join: their members are linked to each other anyway, so a group of thousands
 of exact copies costs one row.
 A prefix n-gram shared by very many sets is cut into hash blocks, and block
 pairs meet in their own tasks, so no task holds a frequent n-gram's list.
+Pairs inside a group of near copies are not joined: their links are counted from
+how each set differs from a base of the group (:mod:`tableferry.llm.neargroups`).
 Components of the verified links come from rounds of joins
 (:mod:`tableferry.llm.links`).  N-grams are compared by a 64-bit hash of their text.
 """
@@ -41,6 +43,7 @@ from pyspark.sql import functions as F
 
 from tableferry.llm.arrow import map_batches
 from tableferry.llm.links import components
+from tableferry.llm.neargroups import DIFFERENCES, blocks, by_group, differences, differing, group_links, meet, near_groups
 from tableferry.llm.repeats import _batched, grams, word_hashes
 from tableferry.session import ensure_checkpoints, written
 
@@ -238,34 +241,37 @@ def jaccard_components(df: DataFrame, text: str = "text", key: str = "doc_id", w
     sets = written(alike.withColumn("id", F.monotonically_increasing_id()), "sets")
 
     heads = sets.select(F.col("id").alias("rid"), "size", F.posexplode("heads").alias("pos", "gram"))
-    spread = heads.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"))
-    heads = heads.join(spread, "gram").withColumn("b", F.pmod(F.xxhash64("rid"), F.col("nb")).cast("int"))
-    cells = heads.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
-        "gram", "rid", "size", "pos", "b", F.least("b", "j").alias("lo"), F.greatest("b", "j").alias("hi")
-    )
-    left = cells.select(*[F.col(c).alias(f"l_{c}") for c in cells.columns])
-    right = cells.select(*[F.col(c).alias(f"r_{c}") for c in cells.columns])
+    spread = written(heads.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "spread")
+    groups = written(near_groups(heads, spread, sets, PARITY, BLOCK), "groups")
+    # of the sets that hold a gram, those of its largest group meet the others only
+    heads = heads.join(groups, "rid", "left")
+    largest = heads.where("group IS NOT NULL").groupBy("gram", "group").agg(F.count(F.lit(1)).alias("m")).groupBy("gram").agg(F.max(F.struct("m", "group")).alias("largest"))
+    spread = spread.join(largest, "gram", "left").withColumn("rest", F.col("n") - F.coalesce("largest.m", F.lit(0))).where("rest > 0")
+    spread = spread.select("gram", F.col("largest.group").alias("most"), blocks(F.col("rest"), BLOCK).alias("nl"), blocks(F.col("n"), BLOCK).alias("nr"))
+    heads = heads.join(spread, "gram").withColumn("most", F.coalesce(F.col("group") == F.col("most"), F.lit(False))).withColumn("group", F.coalesce("group", -1 - F.col("rid")))
+    heads = written(heads, "lists")
     need = _ceil_times(F.col("l_size") + F.col("r_size"), Fraction(t.numerator, t.numerator + t.denominator))
-    pairs = left.join(
-        right,
-        (F.col("l_gram") == F.col("r_gram"))
-        & (F.col("l_lo") == F.col("r_lo"))
-        & (F.col("l_hi") == F.col("r_hi"))
-        & (F.col("l_rid") < F.col("r_rid"))
-        & ((F.col("l_lo") == F.col("l_hi")) | (F.col("l_b") != F.col("r_b"))),
-    ).where(
-        (F.least("l_size", "r_size") * t.denominator >= F.greatest("l_size", "r_size") * t.numerator)
+    pairs = meet(heads.where("NOT most"), heads, ["gram"]).where(
+        (F.col("l_group") != F.col("r_group"))
+        & (F.col("r_most") | (F.col("l_rid") < F.col("r_rid")))
+        & (F.least("l_size", "r_size") * t.denominator >= F.greatest("l_size", "r_size") * t.numerator)
         & (1 + F.least(F.col("l_size") - F.col("l_pos") - 1, F.col("r_size") - F.col("r_pos") - 1) >= need)
     )
-    firsts = pairs.groupBy(F.col("l_rid").alias("x"), F.col("r_rid").alias("y"), "l_size", "r_size").agg(F.min("l_pos").alias("px"), F.min("r_pos").alias("py"))
+    ahead = F.col("l_rid") < F.col("r_rid")
+    sides = ((F.when(ahead, F.col(f"l_{c}")).otherwise(F.col(f"r_{c}")), F.when(ahead, F.col(f"r_{c}")).otherwise(F.col(f"l_{c}"))) for c in ("rid", "size", "pos"))
+    pairs = pairs.select(*[of.alias(name) for names, ofs in zip((("x", "y"), ("l_size", "r_size"), ("px", "py")), sides) for name, of in zip(names, ofs)])
+    firsts = pairs.groupBy("x", "y", "l_size", "r_size").agg(F.min("px").alias("px"), F.min("py").alias("py"))
     xs, ys = (sets.select(F.col("id").alias(c), F.col("bits").alias(f"{c}_bits")) for c in "xy")
-    differ = sum(F.bit_count(F.col("x_bits")[i].bitwiseXOR(F.col("y_bits")[i])) for i in range(PARITY // 64))
+    differ = differing(F.col("x_bits"), F.col("y_bits"), PARITY // 64)
     near = firsts.join(xs, "x").join(ys, "y").where(differ <= F.col("l_size") + F.col("r_size") - 2 * need)
     firsts = written(near.select("x", "y", "px", "py"), "pairs")
-    wanted = firsts.select(F.col("x").alias("id")).union(firsts.select("y")).distinct().join(sets.select("id", "t.t1", "t.t2"), "id")
+    grouped = groups.select("rid").union(groups.select("group"))
+    wanted = firsts.select(F.col("x").alias("id")).union(firsts.select("y")).union(grouped).distinct().join(sets.select("id", "t.t1", "t.t2"), "id")
     # copies of a text become one before they are shuffled
     texts = docs.groupBy("t1", "t2").agg(F.first("text").alias("text")).join(wanted, ["t1", "t2"]).select("id", "text")
     whole = written(map_batches(texts, _whole(width, counts), "id long, grams array<long>"), "whole")
+    diffs = written(map_batches(by_group(groups, whole), differences, DIFFERENCES), "differences")
+    degrees, ties = group_links(diffs, sets, t, BLOCK)
     # a set comes once to each cell, ahead of the cell's pairs
     pairs = written(_in_cells(firsts), "cells")
     members = pairs.select(*CELL, F.col("x").alias("id")).union(pairs.select(*CELL, "y")).distinct().join(whole, "id")
@@ -275,12 +281,13 @@ def jaccard_components(df: DataFrame, text: str = "text", key: str = "doc_id", w
     laid = came.repartition(*CELL).sortWithinPartitions(*CELL, F.col("y").asc_nulls_first())
     links = written(map_batches(laid, _verifier(t, counts), "a long, b long"), "links")
 
-    roots = components(links)
+    roots = components(links.union(ties))
     plain = sets.select("id", *mark, "least", "copies")
     labelled = plain.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     ends = links.select("a", "b").union(links.select("b", "a"))
-    partners = ends.join(plain.select(F.col("id").alias("b"), "copies"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("copies").alias("p"))
+    partners = ends.join(plain.select(F.col("id").alias("b"), "copies"), "b").select(F.col("a").alias("id"), F.col("copies").alias("p"))
+    partners = partners.union(degrees).groupBy("id").agg(F.sum("p").alias("p"))
     linked = (
         labelled.join(smallest, "root")
         .join(partners, "id", "left")
