@@ -13,6 +13,8 @@ that only classes meet, n-gram by n-gram, and the count of n-grams they share is
 
 This holds for any base.  A group forms around one of its sets; n-grams in which more
 than half of the group differ from it are then taken into, or out of, the base.
+A group whose sets differ from its base in up to ``SPAN`` n-grams, all told, lies in one
+task, which finds those n-grams and the shared ones; only wider groups are shuffled by n-gram.
 Groups only decide which pairs are counted here: pairs across groups are the caller's.
 """
 
@@ -25,13 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tableferry.llm.arrow import map_batches
 from tableferry.session import written
 
 DIFFERENCES = "group long, id long, size long, diff array<long>"
+APART = "group long, id long, size long, d long, own array<long>"
 HOT = 16  # sets that share an n-gram
 GRAMS = 4
 PIVOTS = 8
 ALONG = 128  # sets that a base is compared with in one block
+SPAN = 1 << 20  # differences, of all sets of a group, that one task holds
 FULL = 0.875  # of the differing parity bits of unlike sets; beyond it they tell no distance
 
 
@@ -115,22 +120,72 @@ def by_group(groups: DataFrame, whole: DataFrame) -> DataFrame:
     return others.union(leads).join(whole, "id").repartition("group", "b").sortWithinPartitions("group", "b", F.col("lead").desc())
 
 
-def group_links(diffs: DataFrame, sets: DataFrame, t: Fraction, block: int) -> tuple[DataFrame, DataFrame]:
-    """(id, p): the copies of the other sets of its group that a set links with; (a, b): links that join the same sets as all of them."""
-    up, down = t.numerator + t.denominator, t.denominator - t.numerator
-    members = diffs.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
-    often = diffs.select("group", F.explode("diff").alias("e")).groupBy("group", "e").agg(F.count(F.lit(1)).alias("c"))
+def _apart(group: pa.Table) -> pa.RecordBatch:
+    """Of one whole group, :func:`apart`."""
+    diff = group.column("diff").combine_chunks()
+    at = np.asarray(diff.offsets)
+    n = len(group)
+    grams, which, counts = np.unique(np.asarray(diff.values)[at[0] : at[-1]], return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), np.diff(at))
+    flip = np.flatnonzero(2 * counts > n)
+    turned = np.isin(which, flip)
+    lacks = np.ones((n, len(flip)), bool)
+    lacks[row[turned], np.searchsorted(flip, which[turned])] = False
+    rows, flips = np.nonzero(lacks)
+    rows, held = np.concatenate([row[~turned], rows]), np.concatenate([which[~turned], flip[flips]])
+    shared = np.bincount(held, minlength=len(grams))[held] > 1
+    order = np.lexsort((held[shared], rows[shared]))
+    offsets = np.cumsum([0, *np.bincount(rows[shared], minlength=n)]).astype(np.int32)
+    own = pa.ListArray.from_arrays(pa.array(offsets), pa.array(grams[held[shared][order]]))
+    d = pa.array(np.bincount(rows, minlength=n).astype(np.int64))
+    return pa.RecordBatch.from_arrays([*(group.column(c).combine_chunks() for c in ("group", "id", "size")), d, own], ["group", "id", "size", "d", "own"])
+
+
+def _groups_apart(batches):
+    held = []
+    for b in batches:
+        groups = np.asarray(b.column("group"))
+        cuts = [0, *(np.flatnonzero(np.diff(groups)) + 1), len(groups)]
+        for i, j in zip(cuts, cuts[1:]):
+            if i == j:
+                continue
+            if held and held[-1].column("group")[0].as_py() != groups[i]:
+                yield _apart(pa.Table.from_batches(held))
+                held = []
+            held.append(b.slice(i, j - i))
+    if held:
+        yield _apart(pa.Table.from_batches(held))
+
+
+def each_gram(diffs: DataFrame, *more: str) -> DataFrame:
+    return diffs.select("group", *more, F.explode("diff").alias("e"))
+
+
+def apart(diffs: DataFrame) -> DataFrame:
+    """(group, id, size, d, own): how many n-grams a set differs in from the base that most of its group agree on, and those that another set of the group shares."""
+    members = written(diffs.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("diff")).alias("span")), "members")
+    small = diffs.join(members.where(F.col("span") <= SPAN).select("group"), "group").select(diffs.columns)
+    small = map_batches(small.repartition("group").sortWithinPartitions("group"), _groups_apart, APART)
+
+    members = members.where(F.col("span") > SPAN)
+    wide = diffs.join(members.select("group"), "group").select(diffs.columns)
+    often = each_gram(wide).groupBy("group", "e").agg(F.count(F.lit(1)).alias("c"))
     flips = often.join(members, "group").where("2 * c > n").groupBy("group").agg(F.collect_list("e").alias("flip"))
-    moved = diffs.join(flips, "group", "left").withColumn("flip", F.coalesce("flip", F.array().cast("array<long>")))
+    moved = wide.join(flips, "group", "left").withColumn("flip", F.coalesce("flip", F.array().cast("array<long>")))
     moved = moved.withColumn("diff", F.concat(F.array_except("diff", "flip"), F.array_except("flip", "diff")))
-    moved = moved.join(sets.select("id", "copies"), "id").select("group", "id", "copies", (up * F.size("diff") - down * F.col("size")).alias("w"), "diff")
-    moved = written(moved, "moved")
-
-    each = moved.select("group", "id", F.explode("diff").alias("e"))
+    moved = written(moved.select(diffs.columns), "moved")
+    each = each_gram(moved, "id")
     shared = each.groupBy("group", "e").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("group", "e")
     own = each.join(shared, ["group", "e"]).groupBy("id").agg(F.sort_array(F.collect_list("e")).alias("own"))
-    nodes = moved.drop("diff").join(own, "id", "left").withColumn("own", F.coalesce("own", F.array().cast("array<long>")))
-    nodes = written(nodes, "nodes")
+    wide = moved.join(own, "id", "left").select("group", "id", "size", F.size("diff").cast("long").alias("d"), F.coalesce("own", F.array().cast("array<long>")).alias("own"))
+    return small.union(wide)
+
+
+def group_links(diffs: DataFrame, sets: DataFrame, t: Fraction, block: int) -> tuple[DataFrame, DataFrame]:
+    """(id, p): the copies of the other sets of its group that a set links with; (a, b): links that join the same sets as all of them."""
+    up, down = t.numerator + t.denominator, t.denominator - t.numerator
+    nodes = apart(diffs).join(sets.select("id", "copies"), "id")
+    nodes = written(nodes.select("group", "id", "copies", (up * F.col("d") - down * F.col("size")).alias("w"), "own"), "nodes")
     alike = ["group", "w", "own"]
     classes = nodes.groupBy(*alike).agg(F.min("id").alias("rid"), F.sum("copies").alias("all"), F.count(F.lit(1)).alias("sets"))
     classes = written(classes.withColumn("k", F.size("own")), "classes")

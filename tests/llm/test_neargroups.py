@@ -79,3 +79,42 @@ def test_pairs_of_a_group_of_near_copies_are_not_joined(spark, monkeypatch):
     assert found(spark, rows, Fraction(9, 10)) == brute(rows, Fraction(9, 10))
     assert made["pairs"] < 300 and made["cells"] < 300
     assert made["classlinks"] < 3000
+
+
+def near_copies(n):
+    rng = random.Random(10)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(90)]
+    return [(i, edited(rng, base, rng.choice([1, 2, 3]), range(3, 90, 6), [f"own{i}", "x", "y"])) for i in range(n)]
+
+
+@pytest.mark.parametrize("span", [0, 400, 1 << 20])
+def test_links_do_not_depend_on_where_differences_are_told_apart(spark, monkeypatch, span):
+    """All groups shuffled by n-gram, only the wider one, or none; an edit that most copies of the second share, and exact copies."""
+    rows = near_copies(150)
+    rng = random.Random(11)
+    base = [f"v{rng.randrange(10**6)}" for _ in range(90)]
+    rows += [(200 + i, edited(rng, base[:40] + ([f"most{i}"] if i % 7 == 0 else ["most"]) + base[41:], 1, range(60, 90), [f"own{i}"])) for i in range(20)]
+    rows += [(300 + i, rows[i * 3][1]) for i in range(40)]
+    monkeypatch.setattr(neargroups, "SPAN", span)
+    assert found(spark, rows, Fraction(9, 10)) == brute(rows, Fraction(9, 10))
+
+
+def test_differences_of_a_group_that_fits_a_task_are_not_rows(spark, monkeypatch):
+    """Beyond that they are as many as the differences, twice, not the pairs of the group."""
+    made = []
+
+    def spy(diffs, *more, real=neargroups.each_gram):
+        each = real(diffs, *more)
+        made.append(each.count())
+        return each
+
+    monkeypatch.setattr(neargroups, "each_gram", spy)
+    found(spark, near_copies(150), Fraction(9, 10))
+    assert sum(made) == 0
+    monkeypatch.setattr(neargroups, "SPAN", 0)
+    sums = {}
+    for n in (75, 150):
+        made.clear()
+        found(spark, near_copies(n), Fraction(9, 10))
+        sums[n] = sum(made)
+    assert 0 < sums[150] < 2.6 * sums[75]
